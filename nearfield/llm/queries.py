@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, packing, quality, toxicity
+from nearfield.llm import mixing, packing, quality, telephony, toxicity, url_lists, warc
+from nearfield.llm.storage import fresh_dir
 from nearfield.llm.subwords import crc_of
 
 
@@ -47,9 +48,94 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = telephony.store_texts(read(spark, sf_dir, "documents"))
+    return stored.drop("rate")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder)
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list about the hosts of ``pages``, by fixed rules; moments are numbers of days."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("h")).where("h is not null").distinct().withColumn("n", F.length("h"))
+    return hosts.select("h", F.inline(F.expr("""
+        array(
+            named_struct('kind', 'host', 'pattern', h, 'list_name', 'spam', 'at', n * 37 % 200, 'action', 'add', 'when', n % 3 = 0),
+            named_struct('kind', 'host', 'pattern', h, 'list_name', 'spam', 'at', n * 37 % 200 + 60, 'action', 'remove', 'when', n % 3 = 0),
+            named_struct('kind', 'host', 'pattern', h, 'list_name', 'spam', 'at', n * 37 % 200 + 100, 'action', 'add', 'when', n % 6 = 0),
+            named_struct('kind', 'domain', 'pattern', substring(h, locate('.', h) + 1), 'list_name', 'malware', 'at', 100 + n, 'action', 'add', 'when', n % 4 = 1),
+            named_struct('kind', 'domain', 'pattern', substring(h, locate('.', h) + 1), 'list_name', 'malware', 'at', 200 + n, 'action', 'remove', 'when', n % 4 = 1),
+            named_struct('kind', 'prefix', 'pattern', concat(h, '/de/'), 'list_name', 'adult', 'at', n * 13 % 300, 'action', 'add', 'when', true)
+        )"""))).where("when").drop("h", "when")
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    captures = pages.withColumn("day", (F.col("page_id") * 7919 % 365).cast("int"))
+    judged = url_lists.judge(captures, list_entries(pages), id_col="page_id", url_col="url", at_col="day")
+    return judged.select(F.col("id").alias("page_id"), F.col("fetched_at").alias("day"), "n_matches", "matched_key", "matched_list", F.col("listed_since").cast("int").alias("listed_since"), "blocked")
+
+
+OP10_SQL = """
+WITH captures AS (
+    SELECT page_id, CAST(page_id * 7919 % 365 AS INTEGER) AS day,
+        rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS h,
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS p
+    FROM pages
+), hosts AS (
+    SELECT DISTINCT h, length(h) AS n, substr(h, strpos(h, '.') + 1) AS up FROM captures WHERE h <> ''
+), log AS (
+    SELECT 'host' AS kind, h AS pattern, 'spam' AS list_name, n * 37 % 200 AS moment, 1 AS turn FROM hosts WHERE n % 3 = 0
+    UNION SELECT 'host', h, 'spam', n * 37 % 200 + 60, 0 FROM hosts WHERE n % 3 = 0
+    UNION SELECT 'host', h, 'spam', n * 37 % 200 + 100, 1 FROM hosts WHERE n % 6 = 0
+    UNION SELECT 'domain', up, 'malware', 100 + n, 1 FROM hosts WHERE n % 4 = 1
+    UNION SELECT 'domain', up, 'malware', 200 + n, 0 FROM hosts WHERE n % 4 = 1
+    UNION SELECT 'prefix', h || '/de/', 'adult', n * 13 % 300, 1 FROM hosts
+), moments AS (
+    SELECT kind, pattern, list_name, moment, max(turn) AS turn FROM log GROUP BY ALL
+), latest AS (
+    SELECT c.page_id, m.kind, m.pattern, m.list_name, arg_max(m.turn, m.moment) AS turn
+    FROM captures c JOIN moments m ON m.moment <= c.day AND (
+        (m.kind = 'host' AND c.h = m.pattern)
+        OR (m.kind = 'domain' AND (c.h = m.pattern OR ends_with(c.h, '.' || m.pattern)))
+        OR (m.kind = 'prefix' AND starts_with(c.h || c.p, m.pattern)))
+    GROUP BY ALL
+), active AS (
+    SELECT l.page_id, left(l.kind, 1) || ':' || l.pattern AS matched_key, l.list_name,
+        (SELECT max(a.moment) FROM moments a JOIN captures c ON c.page_id = l.page_id
+         WHERE a.kind = l.kind AND a.pattern = l.pattern AND a.list_name = l.list_name AND a.turn = 1 AND a.moment <= c.day
+           AND coalesce((SELECT b.turn FROM moments b WHERE b.kind = a.kind AND b.pattern = a.pattern AND b.list_name = a.list_name AND b.moment < a.moment ORDER BY b.moment DESC LIMIT 1), 0) = 0) AS since
+    FROM latest l WHERE l.turn = 1
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY -length(matched_key), matched_key, list_name) AS r,
+        count(*) OVER (PARTITION BY page_id) AS n FROM active
+)
+SELECT c.page_id, c.day, coalesce(b.n, 0) AS n_matches, b.matched_key, b.list_name AS matched_list,
+    CAST(b.since AS INTEGER) AS listed_since, b.page_id IS NOT NULL AS blocked
+FROM captures c LEFT JOIN best b ON b.page_id = c.page_id AND b.r = 1
+"""
+
+
+OP9_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body FROM pages
+), q AS (
+    SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_toxicity": op7_toxicity}
+    return {"op1_packing": op1_packing, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_toxicity": op7_toxicity, "op8_telephony": op8_telephony, "op9_warc": op9_warc, "op10_url_lists": op10_url_lists}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL, "op10_url_lists": OP10_SQL}
