@@ -27,7 +27,7 @@ from nearfield.llm.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one (source, size) class are numbered in parts of about so many.
-CLASS_PART = 4096
+CLASS_PART = 256
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, packing, quality, substring, telephony, toxicity, url_lists, warc
+from nearfield.llm import mixing, ngram_join, packing, quality, substring, telephony, toxicity, url_lists, warc
 from nearfield.llm.storage import fresh_dir
 from nearfield.llm.subwords import crc_of
 
@@ -27,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.deduplicate(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -139,7 +143,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_substring": op3_substring, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_toxicity": op7_toxicity, "op8_telephony": op8_telephony, "op9_warc": op9_warc, "op10_url_lists": op10_url_lists}
+    return {"op1_packing": op1_packing, "op2_ngram_join": op2_ngram_join, "op3_substring": op3_substring, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_toxicity": op7_toxicity, "op8_telephony": op8_telephony, "op9_warc": op9_warc, "op10_url_lists": op10_url_lists}
 
 
 def oracle_sql() -> dict[str, str]:
