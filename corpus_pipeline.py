@@ -1,24 +1,72 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes the documents that the one before has left and returns those
+that go on, with the columns of ``documents``; the last returns token pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import packing
+from nearfield.llm import mixing, ngram_join, packing, substring, toxicity
 from nearfield.llm.queries import tokenizer_path
+from nearfield.llm.storage import materialize
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL expresses neither the classifier nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, trained on the labelled ones, gives less than one half."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < 0.5).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links of similarity 0.8 or more, the one with the least id.
+
+    Documents without words are no copies of each other; rows with a null id stay;
+    rows with one id stay or go together.
+    """
+    copies = ngram_join.join(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that a document with a smaller id holds.
+
+    A text that loses nothing stays as it is; a document that loses all its words goes.
+    """
+    cut = substring.deduplicate(docs, keep=["doc_id", "lang", "source"], as_they_are=True)
+    cut = cut.where("n_removed = 0 or n_removed < n_words")
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of sequences of at most 2048 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

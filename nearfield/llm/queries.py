@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, ngram_join, packing, quality, substring, telephony, toxicity, url_lists, warc
+from nearfield.llm import mixing, ngram_join, packing, quality, substring, telephony, toxicity, url_lists, voronoi, warc
 from nearfield.llm.storage import fresh_dir
 from nearfield.llm.subwords import crc_of
 
@@ -49,6 +49,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_of(F.col("doc_id")) % 5 == 0, F.lit(False))
@@ -143,8 +161,8 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_ngram_join": op2_ngram_join, "op3_substring": op3_substring, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_toxicity": op7_toxicity, "op8_telephony": op8_telephony, "op9_warc": op9_warc, "op10_url_lists": op10_url_lists}
+    return {"op1_packing": op1_packing, "op2_ngram_join": op2_ngram_join, "op3_substring": op3_substring, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_voronoi": op6_voronoi, "op7_toxicity": op7_toxicity, "op8_telephony": op8_telephony, "op9_warc": op9_warc, "op10_url_lists": op10_url_lists}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op10_url_lists": OP10_SQL}
+    return {"op6_voronoi": OP6_SQL, "op9_warc": OP9_SQL, "op10_url_lists": OP10_SQL}

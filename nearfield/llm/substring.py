@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textops import U64, buffers, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
+from nearfield.llm.textops import U64, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
 
 LENGTH, SEED = 13, 5
 NO_ID = (1 << 63) - 1
@@ -240,7 +240,7 @@ def _subtree(table: pa.Table, length: int) -> pa.Table:
     return _rows(out, BACK)
 
 
-def _cut(table: pa.Table, back: pa.Table, length: int) -> pa.Table:
+def _cut(table: pa.Table, back: pa.Table, length: int, plain: bool) -> pa.Table:
     """The chunk's rows with the number of words, of removed words, and the kept words joined by blanks."""
     c = Chunk(table)
     hits = np.concatenate([np.frombuffer(d.as_buffer(), "<i4").reshape(-1, 2) for d in back.column("data")]) if back.num_rows else np.zeros((0, 2), np.int32)
@@ -254,6 +254,9 @@ def _cut(table: pa.Table, back: pa.Table, length: int) -> pa.Table:
     kept: list[str | None] = []
     texts = c.column.cast(pa.binary())
     for i, (n, r) in enumerate(zip(total, removed, strict=True)):
+        if plain and not r:
+            kept.append(texts[i].as_py().decode())
+            continue
         if n == r:
             kept.append("")
             continue
@@ -269,11 +272,12 @@ def _cut(table: pa.Table, back: pa.Table, length: int) -> pa.Table:
     return pa.table([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, seed: int = SEED, chunk_bytes: int = 16 << 20, frequent: int = 64) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, seed: int = SEED, chunk_bytes: int = 16 << 20, frequent: int = 64, as_they_are: bool = False) -> DataFrame:
     """Columns ``keep`` (the id, if not given) of every row, ``n_words``, ``n_removed`` and ``kept_text``.
 
     Words are runs of characters other than U+0020 and U+0009..U+000D.  kept_text
-    is the words not removed, joined by single blanks.  ``frequent`` is the number
+    is the words not removed, joined by single blanks; with ``as_they_are`` a text
+    that loses nothing keeps its white space too.  ``frequent`` is the number
     of chunks from which on a prefix is lengthened.
 
     A null text has no words.  A null id counts as the largest.  Rows with one id
@@ -300,7 +304,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     suffixes = spread.groupBy("chunk").cogroup(shared.groupBy("to_chunk")).applyInArrow(lambda t, b: _send_suffixes(t, b, parts, length, seed), sent)
     hits = suffixes.groupBy("part").applyInArrow(lambda t: _subtree(t, length), "to_chunk int, data binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema if f.name in keep)
+
     def cut(t: pa.Table, b: pa.Table) -> pa.Table:
-        return _cut(t, b, length)
+        return _cut(t, b, length, as_they_are)
 
     return spread.groupBy("chunk").cogroup(hits.groupBy("to_chunk")).applyInArrow(cut, f"{schema}, n_words long, n_removed long, kept_text string")
