@@ -74,7 +74,7 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, width:
     return SubwordModel(vectors @ fold, float(bias[1] - bias[0]), GRAMS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn=None, most_rows: int = 2000, most_bytes: int = 50_000) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn=None, most_rows: int = 1000, most_bytes: int = 50_000) -> SubwordModel:
     """Train on at most ``most_rows`` labelled rows of each label (texts up to ``most_bytes``) that ``learn`` allows."""
     rows = labelled_sample(docs, labels, F.lit(True) if learn is None else learn, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows, most_bytes=most_bytes)
     return train([t for _, t, _ in rows], [y for _, _, y in rows])

@@ -100,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col
 
 def sparse_documents(texts: list[str], grams: tuple[int, ...], buckets: int, lower: bool = False, distinct: bool = False, order: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Of each text: its distinct buckets, their weights (a word's features share weight 1; those of :func:`order_features` have 1 each, if ``order``) and its number of words."""
-    for _, _, buf, off in slices(pa.array(texts, pa.string())):
+    for _, _, buf, off in slices(pa.array(texts, pa.string()), 1 << 19):
         buf = LOWER[buf] if lower else buf
         starts, ends, bounds = word_spans(buf, off)
         if distinct:
@@ -119,7 +119,7 @@ def sparse_documents(texts: list[str], grams: tuple[int, ...], buckets: int, low
             some = np.concatenate([flat[upto[a] : upto[b]], more[of[k] : of[k + 1]]])
             weight = np.concatenate([np.repeat(1.0 / n[a:b], n[a:b]), np.ones(of[k + 1] - of[k])])
             ids, which = np.unique(some, return_inverse=True)
-            yield ids, np.bincount(which, weight, len(ids)).astype(np.float32), int(b - a)
+            yield ids.astype(np.int32), np.bincount(which, weight, len(ids)).astype(np.float32), int(b - a)
 
 
 def batches(docs: list[tuple[np.ndarray, np.ndarray, int]], order: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
