@@ -44,20 +44,38 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, width: int = 6, epochs: int = 8, rate: float = 0.4, batch: int = 32, penalty: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Fit by stochastic gradient descent with per-bucket steps; with one label only, the score is that label's share."""
+def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, width: int = 6, epochs: int | None = None, factor_rate: float = 0.2, spread: float = 0.05, least_docs: int = 3, start: float = 6.0, least_z: float = 2.5, rate: float = 0.4, batch: int = 32, penalty: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """Fit by stochastic gradient descent with per-bucket steps; with one label only, the score is that label's share.
+
+    Linear weights start from log odds and are kept for terms whose odds differ
+    from even by ``least_z`` standard errors; factors are learned for all terms of
+    at least ``least_docs`` documents.  Rare and neutral terms would else add noise
+    that hides a few telling words in a long text.
+    """
     y = np.asarray(labels, np.float32)
     share = float((y.sum() + 0.5) / (len(y) + 1))
     rng = np.random.default_rng(seed)
     linear = np.zeros(buckets, np.float32)
-    factors = rng.normal(0, 0.02, (buckets, width)).astype(np.float32)
+    factors = rng.normal(0, spread, (buckets, width)).astype(np.float32)
     bias = float(np.log(share / (1 - share)))
     if len(set(labels)) < 2:
         return FactorizationMachine(linear, factors * 0, bias, GRAMS)
     docs = [(i, w / np.float32(np.sqrt(max(n, 1))), n) for i, w, n in sparse_documents(texts, GRAMS, buckets, lower=True, distinct=True)]
+    # terms of fewer than least_docs documents would only be learned by heart
+    found = np.zeros((2, buckets))
+    for (ids, _, _), label in zip(docs, labels, strict=True):
+        found[int(label), ids] += 1
+    known = found.sum(0) >= least_docs
+    docs = [(i[known[i]], w[known[i]], n) for i, w, n in docs]
+    factors[~known] = 0
+    rate_of = (found + 0.5) / (np.array([[len(y) - y.sum()], [y.sum()]]) + 1)
+    odds = np.log(rate_of[1] / rate_of[0])
+    telling = known & (np.abs(odds) >= least_z * np.sqrt((1 / (found + 0.5)).sum(0)))
+    linear[telling] = start * odds[telling]
     squared, squared_factors = np.full(buckets, 1e-6, np.float32), np.full(buckets, 1e-6, np.float32)
     bias = 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+    epochs = epochs or max(6, min(20, 10_000 // len(docs)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for rows, used, x in batches(docs, rng.permutation(len(docs)), batch):
@@ -65,12 +83,12 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, width:
             inner = x @ v
             logit = bias + x @ linear[used] + 0.5 * ((inner**2).sum(1) - (x**2) @ (v**2).sum(1))
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) * balance[rows] / len(rows)
-            down = x.T @ error + penalty / len(rows) * linear[used]
+            down = (x.T @ error + penalty / len(rows) * linear[used]) * telling[used]
             down_v = x.T @ (error[:, None] * inner) - v * ((x**2).T @ error)[:, None] + penalty / len(rows) * v
             squared[used] += down**2
             squared_factors[used] += (down_v**2).mean(1)
             linear[used] -= step * down / np.sqrt(squared[used])
-            factors[used] -= 0.1 * step * down_v / np.sqrt(squared_factors[used])[:, None]
+            factors[used] -= factor_rate * step * down_v / np.sqrt(squared_factors[used])[:, None]
             bias -= step * float(error.sum())
     return FactorizationMachine(linear, factors, bias, GRAMS)
 
