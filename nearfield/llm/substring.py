@@ -272,7 +272,7 @@ def _cut(table: pa.Table, back: pa.Table, length: int, plain: bool) -> pa.Table:
     return pa.table([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, seed: int = SEED, chunk_bytes: int = 16 << 20, frequent: int = 64, as_they_are: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, seed: int = SEED, chunk_bytes: int = 8 << 20, frequent: int = 64, as_they_are: bool = False) -> DataFrame:
     """Columns ``keep`` (the id, if not given) of every row, ``n_words``, ``n_removed`` and ``kept_text``.
 
     Words are runs of characters other than U+0020 and U+0009..U+000D.  kept_text
@@ -289,7 +289,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keep = [id_col] if keep is None else keep
     total, rows_ = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count(F.lit(1))).first()
     chunks = max(1, -(-(total or 0) // chunk_bytes), -(-rows_ // 200_000))
-    parts = max(1, chunks)
+    parts = max(1, -(-chunks // 2))
     spread = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("row id"),
