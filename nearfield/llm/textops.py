@@ -40,7 +40,7 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        m = max(n, 2 * len(_pow))
+        m = max(n, min(2 * len(_pow), 1 << 20))
         a, b = np.full(m, _R, U64), np.full(m, _R_INV, U64)
         a[0] = b[0] = 1
         _pow, _inv = np.multiply.accumulate(a), np.multiply.accumulate(b)
@@ -63,7 +63,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of runs of rows of about ``most`` bytes; a row is never cut."""
     buf, off = buffers(column)
     a, n = 0, len(off) - 1
