@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import SparkSession
 
-from nearfield.errors import InvalidParameter, NearfieldError, TooLarge
+from nearfield.errors import DimensionMismatch, Forbidden, InvalidParameter, NearfieldError, TooLarge
 from nearfield.functions.metrics import Metric
 from nearfield.operators.hnsw import HnswConfig, HnswGraph
 from nearfield.plans import filters
@@ -94,8 +94,6 @@ class Service:
 
     def _writable(self) -> None:
         if self.read_only:
-            from nearfield.errors import Forbidden
-
             raise Forbidden("the service is read-only")
 
     def _open(self, name: str) -> Collection:
@@ -132,8 +130,6 @@ class Service:
                 return {"upserted": 0}
             width = {len(p["vector"]) for p in points}
             if width != {c.dim}:
-                from nearfield.errors import DimensionMismatch
-
                 raise DimensionMismatch(c.dim, next(iter(width - {c.dim})))
             last = {p["id"]: p for p in points}
             n = c.upsert(from_numpy(self.spark, np.array(list(last)), np.array([p["vector"] for p in last.values()])))

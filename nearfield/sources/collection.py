@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ class Collection:
             raise InvalidParameter(f"dim={dim} is not within 1 and {MOST_DIMENSIONS}")
         if files.exists(spark, cls._manifest_path(root, name)):
             raise Conflict(f"collection {name} exists")
-        manifest = {"format": FORMAT, "name": name, "dim": dim, "metric": str(Metric.parse(metric)), "config": vars(config) if not hasattr(config, "__dataclass_fields__") else {k: getattr(config, k) for k in config.__dataclass_fields__}, "next_seq": 1, "segments": [], "pending": [], "metadata": []}
+        manifest = {"format": FORMAT, "name": name, "dim": dim, "metric": str(Metric.parse(metric)), "config": asdict(config), "next_seq": 1, "segments": [], "pending": [], "metadata": []}
         collection = cls(spark, root, name, manifest)
         collection._commit()
         return collection
