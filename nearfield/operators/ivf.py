@@ -64,6 +64,7 @@ class IvfIndex:
         model = json.loads(files.read_text(spark, f"{self.path}/model.json"))
         self.dim, self.metric, self.config = model["dim"], Metric.parse(model["metric"]), IvfConfig(**model["config"])
         self.version = model["version"]
+        self.pure = model["pure"]  # every id has one row, so that no search needs to look for newer ones
         self.centroids = np.array(model["centroids"])
         self.quantizer = ProductQuantizer(np.array(model["codebooks"])) if model["codebooks"] else None
 
@@ -86,7 +87,7 @@ class IvfIndex:
         if config.pq_m:
             rest = x - centroids[nearest_centroid(x, centroids)[0]] if config.residual else x
             books = ProductQuantizer.train_array(rest, config.pq_m, config.ksub, config.pq_iterations, config.seed).codebooks.tolist()
-        model = {"dim": sample.shape[1], "metric": str(metric), "config": asdict(config), "centroids": centroids.tolist(), "codebooks": books, "version": 0}
+        model = {"dim": sample.shape[1], "metric": str(metric), "config": asdict(config), "centroids": centroids.tolist(), "codebooks": books, "version": 0, "pure": True}
         files.write_text(spark, f"{path.rstrip('/')}/model.json", json.dumps(model))
         index = cls(spark, path)
         index.insert(vectors)
@@ -117,7 +118,14 @@ class IvfIndex:
             self._append(here.select("id", F.lit(self._next_seq()).alias("seq"), F.lit(False).alias("live"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("array<short>").alias("codes"), "list"))
         return n
 
+    def _set(self, **changes) -> None:
+        path = f"{self.path}/model.json"
+        files.write_text(self.spark, path, json.dumps(json.loads(files.read_text(self.spark, path)) | changes))
+
     def _append(self, rows: DataFrame) -> None:
+        if self._exists() and self.pure:
+            self.pure = False  # before the rows are there: a reader that comes between looks for newer ones in vain
+            self._set(pure=False)
         rows.repartition("list").write.mode("append").partitionBy("list").parquet(self._folder())
 
     def _place(self) -> Callable:
@@ -147,11 +155,6 @@ class IvfIndex:
         newest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("seq").desc()))
         return self._rows().withColumn("newest", newest).where("newest = 1 and live").drop("newest", "live")
 
-    def _pure(self) -> bool:
-        """Whether every id has one row, as after training or compaction, so that no search needs to look for newer ones."""
-        low, high = self._rows().agg(F.min("seq"), F.max("seq")).first()
-        return low == high
-
     # searching
 
     def probe_order(self, queries: np.ndarray, nprobe: int | None = None) -> np.ndarray:
@@ -173,7 +176,7 @@ class IvfIndex:
         qids = np.array([r.qid for r in asked], np.int64)
         probes = self.probe_order(raw, nprobe)
         wanted = sorted({int(c) for c in probes.reshape(-1)})
-        rows = self._rows().where(F.col("list").isin(wanted)) if self._pure() else self.live().where(F.col("list").isin(wanted))
+        rows = self._rows().where(F.col("list").isin(wanted)) if self.pure else self.live().where(F.col("list").isin(wanted))
         if allowed is not None:
             rows = rows.join(allowed.select("id").distinct(), "id", "left_semi")
         by_list = {c: np.flatnonzero((probes == c).any(axis=1)) for c in wanted}
@@ -227,8 +230,8 @@ class IvfIndex:
         old, rows = self._folder(), self.live().select("id", F.lit(1).cast("long").alias("seq"), F.lit(True).alias("live"), "vector", "codes", "list")
         self.version += 1
         self._append(rows)
-        model = json.loads(files.read_text(self.spark, f"{self.path}/model.json"))
-        files.write_text(self.spark, f"{self.path}/model.json", json.dumps(model | {"version": self.version}))
+        self.pure = True
+        self._set(version=self.version, pure=True)
         files.remove(self.spark, old)
 
     def list_sizes(self) -> DataFrame:
