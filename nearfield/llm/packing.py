@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.bpe import CachedBPE
-from nearfield.llm.textops import slices
+from nearfield.llm.textops import give_back, slices
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -163,5 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                     yield rows(done)
         if done := levels.end():
             yield rows(done)
+        del coder, levels
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(shard, PIECES)

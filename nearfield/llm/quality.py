@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.subwords import WordTable, batches, labelled_sample, order_features, score_batches, sparse_documents, word_features
+from nearfield.llm.subwords import WordTable, batches, labelled_sample, order_features, score_batches, sparse_documents, to_score, word_features
 
 GRAMS = (2, 3, 4)
 
@@ -86,13 +86,13 @@ def score(docs: DataFrame, model: SubwordModel, *, keep: list[str], text_col: st
     A null or empty text, having no words, gets the score of the bias alone.
     Repeated rows and null ids pass through; columns not in ``keep`` are ignored.
     """
-    chosen = docs.select(*keep, F.col(text_col).alias("text to score"))
+    chosen, at, schema = to_score(docs, keep, text_col)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # one number a bucket
 
     def run(parts):
         m = shared.value
         table = WordTable(1, m.of_words)
-        yield from score_batches(lambda buf, off: m.scores(table, buf, off))(parts)
+        yield from score_batches(at, len(keep), lambda buf, off: m.scores(table, buf, off))(parts)
 
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]) + ", score double")
+    return chosen.mapInArrow(run, schema)

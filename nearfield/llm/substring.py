@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textops import U64, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
+from nearfield.llm.textops import U64, give_back, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
 
 LENGTH, SEED = 13, 5
 NO_ID = (1 << 63) - 1
@@ -83,6 +83,7 @@ def _split(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    give_back()
     if not rows:
         return schema.empty_table()
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

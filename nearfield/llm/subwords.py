@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textops import U64, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
+from nearfield.llm.textops import U64, give_back, gram_hashes, inside, mix, owners, ragged, slices, span_hashes, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -134,20 +134,31 @@ def batches(docs: list[tuple[np.ndarray, np.ndarray, int]], order: np.ndarray, s
         yield rows, used, x
 
 
-def score_batches(score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
-    """mapInArrow function: puts the scores of the last column's texts in its place."""
+def score_batches(text_at: int, last: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """mapInArrow function: appends the scores of column ``text_at`` to the first ``last`` columns."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             scores = [np.zeros(0)]
-            for _, _, buf, off in slices(batch.column(batch.num_columns - 1)):
+            for _, _, buf, off in slices(batch.column(text_at)):
                 scores.append(score(buf, off))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*columns, pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            columns = [batch.column(i) for i in range(last)]
+            yield pa.record_batch([*columns, pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names[:last], "score"])
+            give_back()
 
     return run
 
 
+def to_score(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int, str]:
+    """Columns ``keep`` and the text, which comes once; its place; and the schema of the scored rows."""
+    if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string":
+        chosen, at = docs.select(*keep), keep.index(text_col)
+    else:
+        chosen, at = docs.select(*keep, F.col(text_col).cast("string").alias("text to score")), len(keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(keep)])
+    return chosen, at, f"{fields}, score double"
+
+
 def order_features(buf: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and bucket of each word bigram, of each word like the one before, and of each run of four words seen before in the document.
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.subwords import LOWER, WordTable, batches, labelled_sample, score_batches, sparse_documents, word_features
+from nearfield.llm.subwords import LOWER, WordTable, batches, labelled_sample, score_batches, sparse_documents, to_score, word_features
 
 GRAMS = (4,)
 
@@ -105,12 +105,12 @@ def score(docs: DataFrame, model: FactorizationMachine, *, keep: list[str], text
     A null or empty text gets the score of the bias alone.  Repeated rows and null
     ids pass through; columns not in ``keep`` are ignored.
     """
-    chosen = docs.select(*keep, F.col(text_col).alias("text to score"))
+    chosen, at, schema = to_score(docs, keep, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x (width + 1) numbers
 
     def run(parts):
         m = shared.value
         table = WordTable(m.factors.shape[1] + 2, m.of_words, distinct=True)
-        yield from score_batches(lambda buf, off: m.link(*table.sums(LOWER[buf], off)))(parts)
+        yield from score_batches(at, len(keep), lambda buf, off: m.link(*table.sums(LOWER[buf], off)))(parts)
 
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]) + ", score double")
+    return chosen.mapInArrow(run, schema)
