@@ -8,8 +8,8 @@ at least what q.p - |q| r guarantees.  A query goes only to cells whose upper
 bound reaches that, where it meets the rows in blocks.  Cells and query sets of
 any size are split, so a task's memory is bounded.
 
-Of equal vectors only the k + 1 with the least ids can be among anyone's k best;
-the others are left out before anything is dealt.
+Of equal vectors only those of the k + 1 least distinct ids, k rows of each, can be
+among anyone's k best; the others are left out before anything is dealt.
 """
 
 from __future__ import annotations
@@ -90,13 +90,13 @@ def _assign(pivots: Pivots) -> Callable:
 
 
 def _route(pivots: Pivots, summary: dict[int, tuple[int, float]], k: int) -> Callable:
-    """Each query and the cells that may hold one of its k best."""
+    """Each query and the cells that may hold one of its k best; ``own`` of the rows have the query's id and don't count."""
     schema = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.int64())), ("q_cell", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, q in _by_length(batch.column(1)):
-                dim = q.shape[1]
+                dim, own = q.shape[1], batch.column(2).to_numpy()[at]
                 if dim in pivots.cells:
                     base, p = pivots.cells[dim]
                     cells = np.array([c for c in range(base, base + len(p)) if c in summary], np.int64)
@@ -107,12 +107,12 @@ def _route(pivots: Pivots, summary: dict[int, tuple[int, float]], k: int) -> Cal
                     near = v @ p.T
                     reach = np.sqrt((v**2).sum(1))[:, None] * radius[None, :]
                     middle = near[:, cells - base]
-                    least = np.full(len(q), -np.inf)
-                    if len(p) > k:  # one of the pivots may be the query itself
-                        least = np.partition(near, len(p) - k - 1, axis=1)[:, len(p) - k - 1]
+                    # pivots may be the query's own rows
+                    place = len(p) - k - own
+                    least = np.where(place >= 0, np.take_along_axis(np.sort(near, axis=1), np.maximum(place, 0)[:, None], 1)[:, 0], -np.inf)
                     low = middle - reach
                     order = np.argsort(-low, axis=1)
-                    enough = np.cumsum(count[order], axis=1) > k
+                    enough = np.cumsum(count[order], axis=1) >= k + own[:, None]
                     first = enough.argmax(1)
                     sure = np.where(enough.any(1), np.take_along_axis(low, np.take_along_axis(order, first[:, None], 1), 1)[:, 0], -np.inf)
                     row, col = np.nonzero(middle + reach + slack >= np.maximum(least, sure)[:, None])
@@ -161,19 +161,21 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     Rows with a null id, a null vector, or a vector with a null or non-finite
     component take no part.  Vectors meet only vectors of their own length.
     Repeated rows: a row repeated with its id and vector is one query, and a
-    candidate as often as it occurs (up to ``k + 1`` times).  A query's own id is
+    candidate as often as it occurs (up to ``k`` times).  A query's own id is
     never its candidate.  Other columns are ignored; an empty table gives no rows.
     At most ``most_pivots`` rows (those of least hash) come to the driver.
     """
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and v is not null")
     equal = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    data = whole.select("vec_id", "v").withColumn("copy", equal).where(F.col("copy") <= k + 1).drop("copy")
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_pivots).collect()
+    distinct = whole.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("place", equal).where(F.col("place") <= k + 1).drop("place")
+    chosen = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_pivots).collect()
     pivots = Pivots([list(v) for v in {tuple(r.v) for r in chosen}])
+    data = distinct.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k))))).drop("col")
     placed = materialize(data.mapInArrow(_assign(pivots), "vec_id long, v array<long>, cell int, away double"), "voronoi-data")
     # one row a cell: at most most_pivots, and one for each further length of vector
     summary = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
-    asking = whole.where("asks").select("vec_id", "v").dropDuplicates()
+    repeated = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
+    asking = whole.where("asks").select("vec_id", "v").dropDuplicates().join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
     routed = materialize(asking.mapInArrow(_route(pivots, summary, k), "query_id long, q array<long>, q_cell int"), "voronoi-queries")
     asked = {r.q_cell: r.n for r in routed.groupBy("q_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = vectors.sparkSession

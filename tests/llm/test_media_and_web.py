@@ -167,3 +167,21 @@ def test_voronoi_of_few_rows_and_large_values(spark):
     rows = [(0, [1e9, -1e9]), (4, [2e9, 1e9]), (4, [2e9, 1e9]), (5, [-1e9, 0.5])]
     got = sorted(tuple(r) for r in voronoi.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 4 == 0, scale=1).collect())
     assert [(q, r, i) for q, r, i, _ in got] == [(0, 1, 4), (0, 2, 4), (0, 3, 5), (4, 1, 0), (4, 2, 5)]
+
+
+@pytest.mark.parametrize("repeats", [2, 11])
+@pytest.mark.parametrize("options", [{}, {"most_pivots": 3, "block": 16}])
+def test_voronoi_of_repeated_query_rows(spark, repeats, options):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(1, 80, 2)]
+    rows += [(100, [0.9] * 6)] * repeats + [(i, [0.9] * 6) for i in range(201, 226, 2)]
+    # the own rows of 400 and 404, under one vector and under several, are all that is near them
+    rows += [(400, [9.0] * 6)] * repeats + [(404, [-9.0 - i] * 6) for i in range(repeats)]
+    rows += [(501, [0.1] * 6)] * 12
+    got = sorted(tuple(r) for r in voronoi.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 4 == 0, **options).collect())
+    want = []
+    floors = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows]
+    for q in (100, 400, 404):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for v in {v for i, v in floors if i == q} for i, w in floors if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
