@@ -1,8 +1,8 @@
 """Deterministic, sharded WARC writing and reading.
 
-Records are range-sorted by id into shards of about equal payload size; the
-boundaries come from exact counts over at most ``CELLS`` id ranges, so the same
-table always gives the same files.  A shard's task writes files that roll at a
+Records are range-sorted by id into shards of bounded payload size; the
+boundaries come from exact counts over id ranges, split again where they are heavy,
+so the same table always gives the same files.  A shard's task writes files that roll at a
 compressed size, each under a temporary name that is renamed when the file is
 complete; a lost or repeated task writes the same bytes again.  A manifest of all
 files, itself renamed into place last, commits the archive.
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Id ranges that are counted to place shard boundaries; bounds what the driver sees.
-CELLS = 1 << 15
+from nearfield.llm.storage import materialize
+
+#: Id ranges that are counted at once to place shard boundaries, and the least number that a heavy one is split into.
+CELLS, SPLIT = 1 << 15, 64
 MANIFEST = "manifest"
 
 
@@ -61,14 +63,16 @@ def member(record: bytes, level: int) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    view = memoryview(data)
-    while len(view):
-        z = zlib.decompressobj(31)
-        out = z.decompress(view)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            piece = view[at : at + 8192]  # what follows a member is copied, so not the whole rest
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
         if not z.eof:
             raise ValueError("gzip member breaks off")
-        yield out
-        view = view[len(view) - len(z.unused_data) :] if z.unused_data else view[:0]
+        yield b"".join(out)
 
 
 def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -91,18 +95,86 @@ def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number(fields["WARC-Record-ID"]), size, digest, kind, refers
 
 
-def _shard_of(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column]:
-    """A table from id range to shard, of at most ``CELLS`` + 1 rows, and the column that gives a row's range."""
+def _range_of(width: str) -> Column:
+    """Number of a row's range of ``width`` ids; null without an id or a width."""
+    return F.expr(f"page_id div {width} - if(page_id % {width} < 0, 1, 0)")
+
+
+def _located(rows: DataFrame, first_width: int, levels: list[list[tuple]]) -> DataFrame:
+    """``rows`` with the shard of their range and its parts, and the node and width of ranges that are still to be split."""
+    columns = rows.columns
+    rows = rows.select("*", F.lit(0).alias("node"), F.lit(first_width).cast("long").alias("width"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("parts"))
+    for level in levels:
+        table = rows.sparkSession.createDataFrame(level, "of_node int, of_range long, to_node int, to_width long, to_shard int, to_parts int")
+        rows = rows.withColumn("range", _range_of("width")).join(F.broadcast(table), (F.col("node") == F.col("of_node")) & F.col("range").eqNullSafe(F.col("of_range")), "left")
+        rows = rows.select(*columns, F.col("to_node").alias("node"), F.col("to_width").alias("width"), F.coalesce("shard", "to_shard").alias("shard"), F.coalesce("parts", "to_parts").alias("parts"))
+    return rows
+
+
+def _ranges(pages: DataFrame, shard_bytes: int) -> tuple[int, list[list[tuple]]]:
+    """Levels of id ranges for :func:`_located`.
+
+    Ranges of more than ``shard_bytes`` are split again by exact counts until they
+    hold one id.  What is then still too large, or has no id, gets several shards.
+    A level has at most ``CELLS`` + 2 ranges, or ``SPLIT`` + 1 for each that is split.
+    """
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
-    counted = pages.groupBy(cell.alias("cell")).agg(F.sum(F.col("payload_bytes") + 512).alias("bytes")).orderBy("cell").collect()
-    rows, before = [], 0
-    for r in counted:
-        rows.append((r.cell, before // shard_bytes))
-        before += r.bytes
-    return pages.sparkSession.createDataFrame(rows, "cell int, shard int"), cell
+    first_width = max(1, -(-(high - low + 1) // CELLS))
+    levels: list[list[list]] = []
+    leaves, nodes, split = [], 0, True
+    while split:
+        rows = _located(pages, first_width, [[tuple(r) for r in level] for level in levels]).where("node is not null")
+        counted = rows.groupBy("node", _range_of("width").alias("range")).agg(F.sum(F.col("payload_bytes") + 512).alias("bytes"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()
+        split = [r for r in counted if r.bytes > shard_bytes and r.low != r.high]
+        each = max(SPLIT, CELLS // max(1, len(split)))
+        level = []
+        for r in counted:
+            row = [r.node, r.range, None, None, None, None]
+            if r.bytes > shard_bytes and r.low != r.high:
+                nodes += 1
+                row[2:4] = nodes, -(-(r.high - r.low + 1) // each)
+            else:
+                leaves.append((r.low is not None, r.low or 0, r.bytes, r.low == r.high, row))
+            level.append(row)
+        levels.append(level)
+    shard, filled = 0, 0
+    for _, _, size, single, row in sorted(leaves, key=lambda x: x[:2]):
+        parts = -(-size // shard_bytes) if single else 1
+        if filled and filled + size > shard_bytes:
+            shard, filled = shard + 1, 0
+        row[4:] = shard, parts
+        shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + size)
+    return first_width, [[tuple(r) for r in level] for level in levels]
+
+
+def _dealt(base: DataFrame, shard_bytes: int) -> DataFrame:
+    """Rows with their shard, how often each is written, and the number of the first record of its id in the shard.
+
+    Rows of an id with several shards go there by a hash of URL and payload; slices
+    of rows that are equal in all go to one shard after the other.
+    """
+    first_width, levels = _ranges(base.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes")), shard_bytes)
+    placed = _located(base, first_width, levels)
+    columns = ["shard", "page_id", "url", "html"]
+    rows = placed.select(*columns, F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("before"))
+    if all(r[5] is None or r[5] == 1 for level in levels for r in level):
+        return rows
+    rows = placed.where("parts = 1").select(*rows.columns[:4], F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("before"))
+    alike = placed.where("parts > 1").groupBy(*columns, "parts").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("most", F.greatest(F.lit(1), F.floor(shard_bytes / 8 / (F.octet_length("html") + 512))).cast("long"))
+    alike = alike.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div most"))).alias("slice"))
+    part = F.pmod(F.pmod(F.xxhash64("url", "html"), F.col("parts")) + F.col("slice"), F.col("parts")).cast("int")
+    alike = alike.select((F.col("shard") + part).alias("shard"), "page_id", "url", "html", F.least("most", F.col("n") - F.col("slice") * F.col("most")).alias("times"), F.col("shard").alias("of_shard"))
+    alike = materialize(alike, "warc-split-ids")
+    # one row a shard
+    before, last, total = [], None, 0
+    for r in alike.groupBy("of_shard", "shard").agg(F.sum("times").alias("n")).orderBy("of_shard", "shard").collect():
+        total = total if r.of_shard == last else 0
+        before.append((r.shard, total))
+        last, total = r.of_shard, total + r.n
+    before = F.broadcast(base.sparkSession.createDataFrame(before, "shard int, before long"))
+    return rows.unionByName(alike.drop("of_shard").join(before, "shard"))
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 1000, shard_bytes: int = 24 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -112,7 +184,9 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     the largest id is a response and the others revisit it; all other rows are
     responses.  A null payload is empty.  Rows with null ids come first and revisit
     a row with an id if there is one; a null URL is replaced by the record's name.
-    Repeated rows get a record each.  Other columns are ignored.  An empty table
+    Repeated rows get a record each.  A shard holds at most about ``shard_bytes`` of
+    payload or a single row; rows of one id, or without one, share several shards
+    if they are more.  Other columns are ignored.  An empty table
     gives an archive without files.  ``folder`` is any URI that pyarrow's file
     systems open; it must be new.
     """
@@ -120,13 +194,12 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("html"))
     light = base.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    cells, cell = _shard_of(base.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes")), shard_bytes)
-    cells = F.broadcast(cells)  # at most CELLS + 1 rows
+    rows = _dealt(base, shard_bytes)
+    there = rows.select("shard", "page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     equal = light.where(F.col("payload_bytes") >= least_revisit).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    revisits = light.join(equal, ["digest", "payload_bytes"]).where("page_id is null or page_id < refers_to")
-    revisits = revisits.select("page_id", "digest", "refers_to", cell.alias("cell")).join(cells, "cell").select("shard", "page_id", "digest", "refers_to").distinct()
+    revisits = there.join(equal, ["digest", "payload_bytes"]).where("page_id is null or page_id < refers_to")
+    revisits = revisits.select("shard", "page_id", "digest", "refers_to").distinct()
     revisits = revisits.select(*[F.col(c).alias(f"revisit_{c}") for c in revisits.columns])
-    rows = base.withColumn("cell", cell).join(cells, "cell").select("shard", "page_id", "url", "html")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -140,7 +213,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         left = left.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
         nulls = left.column("page_id").is_null().to_pylist()
         order = [i for i, x in enumerate(nulls) if x] + [i for i, x in enumerate(nulls) if not x]
-        ids, urls, bodies = (left.column(c) for c in ("page_id", "url", "html"))
+        ids, urls, bodies, times, before = (left.column(c) for c in ("page_id", "url", "html", "times", "before"))
         done: list[tuple] = []
         stream, temporary, size, count, hashed, last, repeat = None, "", 0, 0, None, object(), 0
         system.create_dir(root, recursive=True)
@@ -151,10 +224,10 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
             system.move(temporary, f"{root}/{name}")
             done.append((name, count, size, hashed.hexdigest()))
 
-        for i in order:
+        for i in (i for i in order for _ in range(times[i].as_py())):
             page_id, payload = ids[i].as_py(), bodies[i].as_py().encode()
             digest = hashlib.sha1(payload).hexdigest()
-            repeat = repeat + 1 if page_id == last else 0
+            repeat = repeat + 1 if page_id == last else before[i].as_py()
             last = page_id
             packed = member(record_bytes(page_id, repeat, urls[i].as_py(), payload, digest, refers.get((page_id, digest)), date), level)
             if stream is not None and size + len(packed) > roll_bytes:
