@@ -45,9 +45,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    """Each row as often as the mix takes it, also where ids are null or repeated.
+
+    Rows are numbered and written once, so that a number names the same row in
+    both reads; only rows alike in all columns are told apart by it.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "mix-rows")
+    mixed = mixing.mix(rows.withColumn("key", F.struct("doc_id", "mark")), id_col="key", keep=["row"])
+    taken = rows.join(mixed.where("copies > 0").select("row", F.col("copies").cast("int").alias("copies")), "row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

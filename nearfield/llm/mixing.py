@@ -59,12 +59,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return by.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, steps: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, steps: int = 40, tolerance: float = 1e-9, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of ``docs`` as ``(doc_id, size, source_size, target, rate, copies, taken)``.
 
     size: words of the text; target: the words wanted of the row's source; rate:
     the exponentially tilted number of copies; copies: that rounded to a whole
-    number from 0 to ``most``; taken: copies times size.
+    number from 0 to ``most``; taken: copies times size.  Columns named in ``keep``
+    follow and tell rows of one id apart.
 
     Nulls: a null text has size 0; a null source is a source of its own, the last
     one; a null id is an id like any other.  Repeated rows count as often as they
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     columns are ignored.  An empty table gives no rows.  Reruns agree: rates are
     rounded to whole millionths before anything is derived from them.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep), "mix-sizes")
     targets = source_targets(sizes, weights, share, most)
     classes = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "size", "n", "source_size", "target"), "mix-classes")
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.col("tilt") * z)))
     rated = rated.select("source", "size", "n", "source_size", "target", F.round(rate, 6).alias("rate"))
     planned = round_classes(rated, most)
-    return deal(sizes, planned)
+    return deal(sizes, planned, keep)
 
 
 def solve_dual(classes: DataFrame, most: int, steps: int, tolerance: float) -> DataFrame:
@@ -149,7 +150,7 @@ def round_classes(rated: DataFrame, most: int, repairs: int = 6) -> DataFrame:
     return materialize(plan, "mix-plan")
 
 
-def deal(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+def deal(sizes: DataFrame, plan: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Give the copies of each class to its documents, as evenly as whole numbers allow.
 
     Documents of a class are numbered within hashed parts of about
@@ -157,7 +158,7 @@ def deal(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """
     part = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / CLASS_PART)))
     joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
-    joined = joined.select("d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "n", F.col("copies").alias("class_copies"), part.alias("part"))
+    joined = joined.select("d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "n", F.col("copies").alias("class_copies"), part.alias("part"), *keep)
     keys = ["source", "size", "part"]
     parts = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("here"), F.max("n").alias("n"), F.max("class_copies").alias("class_copies"))
     run = Window.partitionBy("source", "size").orderBy("part")
@@ -166,7 +167,7 @@ def deal(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     parts = parts.withColumn("upto", upto)
     parts = parts.select("source", "size", "part", "here", (F.col("upto") - F.coalesce(F.lag("upto").over(run), F.lit(0))).alias("own"))
     dealt = joined.alias("j").join(parts.alias("q"), F.col("j.source").eqNullSafe(F.col("q.source")) & (F.col("j.size") == F.col("q.size")) & (F.col("j.part") == F.col("q.part")))
-    dealt = dealt.select("doc_id", "j.source", "j.size", "j.part", "source_size", "target", "rate", "here", "own")
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    dealt = dealt.select("doc_id", "j.source", "j.size", "j.part", "source_size", "target", "rate", "here", "own", *keep)
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id", *keep))
     copies = F.floor(F.col("own") / F.col("here")) + F.when(at <= F.col("own") % F.col("here"), 1).otherwise(0)
-    return dealt.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return dealt.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)

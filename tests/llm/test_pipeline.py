@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_duplicates import brute_cut, brute_join
 
 import corpus_pipeline
-from nearfield.llm import queries
+from nearfield.llm import mixing, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,3 +89,18 @@ def test_results_equal_sql(spark, name):
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
     assert sorted(map(str, want.project(", ".join(columns)).fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_mixing_takes_each_row_by_itself(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(5, 60))) for _ in range(240)]
+    docs = [(None if i % 2 else i // 8, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    docs += docs[:20]
+    table = spark.createDataFrame(docs, SCHEMA)
+    number = spark.createDataFrame([(i, *d[1:]) for i, d in enumerate(docs)], SCHEMA)
+    want = {docs[r.doc_id][3]: r.target for r in mixing.mix(number).collect()}
+    mixed = [corpus_pipeline.mix_sources(spark, t, "").collect() for t in (table, table.repartition(7))]
+    for source, target in want.items():
+        words = sum(len(r.text.split()) for r in mixed[0] if r.source == source)
+        assert abs(words - target) <= 5
+    assert sorted(map(str, mixed[0])) == sorted(map(str, mixed[1]))
