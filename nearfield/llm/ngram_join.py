@@ -3,9 +3,10 @@
 Each tree of the forest is a prefix trie over signatures of its own hash
 functions.  Two texts of Jaccard similarity s share a prefix of d values in a
 tree with probability s^d, so with t trees a pair is met with probability
-1 - (1 - s^d)^t.  Matching starts at the full depth and shortens the prefix until
-that reaches the target recall at the threshold; all nodes of the tries at that
-depth are then candidates.
+1 - (1 - s^d)^t.  The depth is fixed before any data is read: the longest prefix
+that reaches the target recall at the threshold.  Only the tries' nodes at that
+depth are built, which equals MinHash banding with t bands of d values; all of
+them are then candidates.
 
 Documents with the same words form a class and the least id stands for it.  A
 trie node of any size is cut into blocks, and pairs of blocks are verified by
