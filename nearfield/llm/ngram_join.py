@@ -142,7 +142,7 @@ def _verify(shingle: int, threshold: float) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("linked_rows", pa.int64()), ("edge", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        tree = table.column("tree")[0].as_py()
+        tree, one, two = (table.column(c)[0].as_py() for c in ("tree", "one", "two"))
         side = np.array(table.column("side"))
         ids, weight = np.array(table.column("id")), np.array(table.column("copies"))
         keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
@@ -150,13 +150,13 @@ def _verify(shingle: int, threshold: float) -> Callable:
         ids, weight, keys, side = ids[order], weight[order], keys[order], side[order]
         texts = table.column("text").combine_chunks().take(pa.array(order))
         sets = [s for _, _, buf, off in slices(texts) for s in shingle_sets(buf, off, shingle)]
-        both = bool((side == 0).all())
+        both = one == two  # with a block left empty, side 0 is there alone too
         left = np.flatnonzero(side == 0)
         right = left if both else np.flatnonzero(side == 1)
         if not len(left) or not len(right):
             return schema.empty_table()
-        one = [sets[i] for i in left]
-        link = _similar(one, one if both else [sets[i] for i in right], threshold)
+        of_left = [sets[i] for i in left]
+        link = _similar(of_left, of_left if both else [sets[i] for i in right], threshold)
         for t in range(tree):  # met in an earlier tree
             link &= keys[left, t][:, None] != keys[right, t][None, :]
         if both:

@@ -151,3 +151,11 @@ def test_similar_blocks():
     inner = ngram_join._similar(sets, sets, 0.5)
     np.fill_diagonal(inner, True)
     assert inner.tolist() == want
+
+
+@pytest.mark.parametrize("block_bytes", [1, 100, 700])
+def test_links_of_blocks_that_stay_empty(spark, block_bytes):
+    base = [f"w{i}" for i in range(60)]
+    rows = {10 * g + i: " ".join([f"g{g}", *base[g:], *(["end"] * i)]) for g in range(0, 60, 15) for i in range(3)}
+    got = {r.doc_id: (r.copy_of, r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(spark.createDataFrame(list(rows.items()), SCHEMA), block_bytes=block_bytes).collect()}
+    assert got == brute_join(rows)
