@@ -147,8 +147,8 @@ def test_similar_blocks():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(25)]
     want = [[len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b)) for b in sets] for a in sets]
-    assert ngram_join._similar(sets, list(sets), 0.5).tolist() == want
-    inner = ngram_join._similar(sets, sets, 0.5)
+    assert (ngram_join._similarity(sets, list(sets)) >= 0.5).tolist() == want
+    inner = ngram_join._similarity(sets, sets) >= 0.5
     np.fill_diagonal(inner, True)
     assert inner.tolist() == want
 
@@ -159,3 +159,43 @@ def test_links_of_blocks_that_stay_empty(spark, block_bytes):
     rows = {10 * g + i: " ".join([f"g{g}", *base[g:], *(["end"] * i)]) for g in range(0, 60, 15) for i in range(3)}
     got = {r.doc_id: (r.copy_of, r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(spark.createDataFrame(list(rows.items()), SCHEMA), block_bytes=block_bytes).collect()}
     assert got == brute_join(rows)
+
+
+def links_of(spark, pairs, **options):
+    rows = [(2 * i + j, " ".join(t)) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r.doc_id: r.class_id for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA), **options).collect()}
+    return [got[2 * i + 1] == 2 * i for i in range(len(pairs))]
+
+
+def pair_of(rng, n, changed):
+    """Two texts of n shingles each, the last ``changed`` of them not shared."""
+    w = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+    return w, w[: n + 4 - changed] + [f"z{rng.randrange(10**6)}" for _ in range(changed)]
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    rng = random.Random(6)
+    # (n - c) / (n + c) from 0.80 to 0.85
+    pairs = [pair_of(rng, n, c) for n in range(60, 260) for c in [-(-n * 4 // 45)]]
+    assert all(0.8 <= (n - c) / (n + c) <= 0.85 for n in range(60, 260) for c in [-(-n * 4 // 45)])
+    got = links_of(spark, pairs)
+    assert sum(got) >= 0.99 * len(got)
+
+
+@pytest.mark.parametrize(("changed", "levels"), [(1, [6]), (5, [6, 5, 4])])
+def test_prefixes_shorten_as_far_as_links_need(spark, monkeypatch, changed, levels):
+    rng = random.Random(7)
+    seen = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: seen.append(a[-1]) or verify(*a))
+    assert all(links_of(spark, [pair_of(rng, 50, changed) for _ in range(30)]))
+    assert seen == levels
+
+
+def test_components_of_busy_nodes(spark, monkeypatch):
+    from nearfield.llm import components as module
+
+    monkeypatch.setattr(module, "BUSY", 3)
+    edges = [(1, i) for i in range(2, 40)] + [(i, 100 + i) for i in range(2, 40)] + [(500, 501)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 500 if n >= 500 else 1 for e in edges for n in e}
