@@ -199,3 +199,36 @@ def test_components_of_busy_nodes(spark, monkeypatch):
     edges = [(1, i) for i in range(2, 40)] + [(i, 100 + i) for i in range(2, 40)] + [(500, 501)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: 500 if n >= 500 else 1 for e in edges for n in e}
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_windows_are_nodes_of_the_tree(monkeypatch, collide):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(3, 40))).encode() for _ in range(12)]
+    text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    starts, ends, _ = substring.word_spans(text, np.array([0, len(text)]))
+    hashes = substring.span_hashes(text, starts, ends)
+    number = substring.word_numbers(text, starts, ends, hashes * np.uint64(0) if collide else hashes)
+    bounds = np.cumsum([0] + [len(t.split()) for t in texts])
+    length, suffixes, seen = 6, [], {}
+    for doc, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        for s in range(a, b - length + 1):
+            seen.setdefault(tuple(text[starts[s + j]] for j in range(length)), doc)
+        for s in range(a, b - length + 1, 3):  # anchors two words into every third window; up to three windows each
+            suffixes.append((doc, s + 2, 2, min(3, b - length + 1 - s)))
+    doc, anchor, offset, windows = np.array(suffixes).T
+    got = set()
+    for o, hit in substring.repeated_windows(doc, anchor, offset, windows, number, length):
+        got |= {int(anchor[i] - o) for i in hit}
+    for i, (d, a, l, n) in enumerate(suffixes):
+        for s in range(a - l, a - l + n):
+            # only windows at the same offset from an anchor meet here
+            same = [e for e, b, m, k in suffixes for r in range(b - m, b - m + k) if a - s == b - r and all(text[starts[s + j]] == text[starts[r + j]] for j in range(length))]
+            assert (s in got) == (min(same) < d), (s, d)
+
+
+def test_removed_spans_are_maximal_repeats(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, "a " + passage), (2, "b c " + passage + " d"), (3, passage + " e " + passage)]
+    cut = substring.deduplicate(spark.createDataFrame(rows, SCHEMA))
+    assert {r.doc_id: [tuple(s) for s in r.removed_spans] for r in cut.collect()} == {1: [], 2: [(2, 30)], 3: [(0, 30), (31, 30)]}
