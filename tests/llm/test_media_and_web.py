@@ -152,7 +152,7 @@ def brute_top(rows, k=10):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"most_pivots": 3, "block": 16}, {"most_pivots": 200}])
+@pytest.mark.parametrize("options", [{}, {"sample": 2, "block": 16}, {"sample": 1}])
 def test_voronoi_equals_brute_force(spark, options):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(160)]
@@ -170,7 +170,7 @@ def test_voronoi_of_few_rows_and_large_values(spark):
 
 
 @pytest.mark.parametrize("repeats", [2, 11])
-@pytest.mark.parametrize("options", [{}, {"most_pivots": 3, "block": 16}])
+@pytest.mark.parametrize("options", [{}, {"sample": 2, "block": 16}])
 def test_voronoi_of_repeated_query_rows(spark, repeats, options):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(1, 80, 2)]
@@ -212,3 +212,27 @@ def test_archive_of_skewed_ids(spark):
         assert sum(n for _, n in shard) <= (2 * size if any(s for s, _ in shard) else size)
     want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if h == body and i is None else "response", 2**63 - 1 if h == body and i is None else None) for i, _, h in rows]
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.read(spark, folders[0]).collect())
+
+
+def test_voronoi_bounds_exclude_most_pairs_of_clustered_data(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 16))
+    rows = [(i, (middles[i * 7 % 20] + 0.05 * rng.normal(size=16)).tolist()) for i in range(1200)]
+    table = spark.createDataFrame(rows, VECTORS)
+    figures: dict = {}
+    got = {tuple(r) for r in voronoi.search(table, F.col("vec_id") % 4 == 0, figures=figures).collect()}
+    assert got == brute_top(rows)
+    assert figures["pairs"] == 1200 * 300 and figures["compared"] < figures["pairs"] / 4
+
+
+def test_voronoi_bounds_hold():
+    rng = np.random.default_rng(9)
+    rows = [tuple(int(x) for x in v) for v in np.concatenate([rng.integers(-50, 50, (300, 5)), rng.integers(900, 1000, (200, 5)), np.zeros((3, 5), int)])]
+    pivots = voronoi.Pivots(rows, 0.05)
+    x = np.array(rows)
+    cell, away, norm, cosine = pivots.assign(x)
+    summary = np.array([(c, n := int((cell == c).sum()), away[cell == c].min(), away[cell == c].max(), norm[cell == c].min(), norm[cell == c].max(), cosine[cell == c].min()) for c in np.unique(cell)], voronoi.CELL)
+    q = np.concatenate([x[::7], -x[::11], rng.integers(-5, 5, (20, 5))])
+    most = voronoi.upper_bounds(q, pivots.cells[5][1][summary["cell"]], summary)
+    for j, c in enumerate(summary["cell"]):
+        assert ((q @ x[cell == c].T).max(1) <= most[:, j]).all()
