@@ -2,7 +2,7 @@
 
 mu-law and A-law bytes expand through 256-entry tables built from their formulas;
 ADPCM blocks decode together, one numpy step for each sample position over all
-blocks.  A stored clip is a WAV file with 8-bit samples, so any payload of bytes
+blocks.  A stored clip is a WAV file with 8-bit samples or ADPCM blocks, so any payload of bytes
 survives unchanged.
 """
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.textops import slices
+
 RATE = 8000
 FORMATS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 
@@ -106,6 +108,13 @@ def decode(codec: str, stored: memoryview | bytes, block: int = 1) -> np.ndarray
     return (MULAW if codec == "mulaw" else ALAW)[raw]
 
 
+def decoded(codec: str, stored: memoryview, block: int, piece: int = 1 << 19) -> Iterator[np.ndarray]:
+    """PCM of stored samples, piece by piece; ADPCM blocks don't depend on each other."""
+    step = max(1, piece // block) * block
+    for a in range(0, len(stored), step):
+        yield decode(codec, stored[a : a + step], block)
+
+
 def double_rate(pcm: np.ndarray) -> np.ndarray:
     """PCM at twice the rate: each sample, then the rounded-down mean of it and the next (the last one repeats)."""
     out = np.empty(2 * len(pcm), np.int16)
@@ -115,57 +124,104 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def doubled(pieces: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """:func:`double_rate` of all pieces as if they were one."""
+    last = np.zeros(0, np.int16)
+    for pcm in pieces:
+        if len(pcm):
+            yield double_rate(np.concatenate([last, pcm]))[:-2]
+            last = pcm[-1:]
+    yield double_rate(last)
+
+
+class Meter:
+    """Length, mean square, sign changes and peak of PCM in pieces, in whole numbers."""
+
+    def __init__(self):
+        self.samples = self.power = self.crossings = self.peak = 0
+        self.low: np.ndarray = np.zeros(0, bool)
+
+    def add(self, pcm: np.ndarray) -> None:
+        for a in range(0, len(pcm), 1 << 20):  # sums below 2^53 are exact
+            x = pcm[a : a + (1 << 20)].astype(np.float64)
+            self.power += int(np.dot(x, x))
+            self.peak = max(self.peak, int(np.abs(x).max()))
+        low = np.concatenate([self.low, pcm < 0])
+        self.crossings += int(np.count_nonzero(low[1:] != low[:-1]))
+        self.samples += len(pcm)
+        self.low = low[-1:]
+
+    def __str__(self) -> str:
+        return f"samples={self.samples} power={self.power // max(1, self.samples)} crossings={self.crossings} peak={self.peak}"
+
+
 def features(pcm: np.ndarray) -> str:
-    """Length, mean square, sign changes and peak, all in whole numbers."""
-    if not len(pcm):
-        return "samples=0"
-    power = int(np.dot(pcm.astype(np.float64), pcm.astype(np.float64))) // len(pcm)
-    low = pcm < 0
-    return f"samples={len(pcm)} power={power} crossings={int(np.count_nonzero(low[1:] != low[:-1]))} peak={int(np.abs(pcm.astype(np.int32)).max())}"
+    meter = Meter()
+    meter.add(pcm)
+    return str(meter)
+
+
+def pcm_head(samples: int, rate: int) -> bytes:
+    """All of a mono WAV file of 16-bit PCM that comes before its samples."""
+    return b"RIFF" + struct.pack("<I", 36 + 2 * samples) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", 2 * samples)
 
 
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int"
+BY_LENGTH = ("mulaw", "alaw", "ima_adpcm")
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string, rate int"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", codec: str = "mulaw", unit: int = 576, fill: int = 255, resample: bool = True, with_media: bool = False) -> DataFrame:
-    """Store each whole text as a telephony clip, read it back, decode, resample and describe it.
+def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None, unit: int = 576, fill: int = 255, resample: bool = True, with_media: bool = False) -> DataFrame:
+    """Store each whole text as a telephony clip, read it back, decode and resample it, store that as PCM, and describe it.
 
     The payload is the text's UTF-8 bytes and bytes ``fill`` up to a positive
     multiple of ``unit``; a null or empty text is ``unit`` such bytes.  The hash
     and checksum columns come from the bytes read back from the stored file.
-    ``with_media`` adds the file (``media``) and the 16-bit PCM at twice the rate
-    (``pcm``).  With ``ima_adpcm`` the payload is a row of blocks of ``unit`` bytes.
+    Without ``codec`` the number of bytes, modulo three, chooses among :data:`BY_LENGTH`;
+    with ``ima_adpcm`` the payload is a row of blocks of ``unit`` bytes.
+    pcm_bytes and pcm_sha256 are of the WAV file of 16-bit PCM, at twice the rate if ``resample``.
+    ``with_media`` adds both files (``media`` and ``pcm``).
 
     Rows with null ids and repeated rows pass through; equal texts get equal
-    values; other columns are ignored.  One text is in memory at a time.
+    values; other columns are ignored.  Texts are decoded in slices of a few rows,
+    a long one alone and its PCM in pieces, of which only ``with_media`` keeps all.
     """
-    block = unit if codec == "ima_adpcm" else 1
+    names = [tuple(c.split(" ")) for c in f"doc_id long, {COLUMNS}{', media binary, pcm binary' if with_media else ''}".split(", ")]
+    schema = pa.schema([(name, _TYPES[kind]) for name, kind in names])
+
+    def pcm_of(clips: list[tuple[str, int, int, memoryview]]) -> list[Iterator[np.ndarray]]:
+        """PCM of each clip in pieces; the ADPCM blocks of all small clips are decoded together."""
+        small = [i for i, (kind, _, _, stored) in enumerate(clips) if kind == "ima_adpcm" and len(stored) <= 1 << 19]
+        out = [decoded(kind, stored, block) for kind, _, block, stored in clips]
+        if small:
+            pcm = decode("ima_adpcm", b"".join(clips[i][3] for i in small), unit)
+            ends = np.cumsum([len(clips[i][3]) // unit for i in small]) * (len(pcm) // max(1, sum(len(clips[i][3]) for i in small) // unit))
+            for i, one in zip(small, np.split(pcm, ends[:-1]), strict=True):
+                out[i] = iter([one])
+        return out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("rate", pa.int32())] + [("media", pa.binary()), ("pcm", pa.binary())] * with_media
-        schema = pa.schema(fields)
         for batch in parts:
-            rows, held = [], 0
-            ids = batch.column(0)
-            texts = batch.column(1).cast(pa.binary())
-            for i in range(batch.num_rows):
-                raw = texts[i].as_py() or b""
-                payload = raw + bytes([fill]) * (max(1, -(-len(raw) // unit)) * unit - len(raw))
-                media = write_wav(payload, codec, RATE, block)
-                kind, rate, size, stored = read_wav(media)
-                pcm = decode(kind, stored, size)
-                if resample:
-                    pcm, rate = double_rate(pcm), 2 * rate
-                row = (ids[i].as_py(), len(raw), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm), rate)
-                if with_media:
-                    row += (media, pcm.astype("<i2").tobytes())
-                    held += len(media) + 2 * len(pcm)
-                rows.append(row)
-                if held > 32 << 20:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-            if rows:
+            for a, b, buf, off in slices(batch.column(1)):
+                media, clips, rows, sizes = [], [], [], np.diff(off).tolist()
+                for i, n in enumerate(sizes):
+                    payload = buf[off[i] : off[i + 1]].tobytes() + bytes([fill]) * (max(1, -(-n // unit)) * unit - n)
+                    kind = codec or BY_LENGTH[n % 3]
+                    media.append(write_wav(payload, kind, RATE, unit if kind == "ima_adpcm" else 1))
+                    clips.append(read_wav(media[-1]))
+                for (kind, rate, _, stored), pieces, file, n, doc in zip(clips, pcm_of(clips), media, sizes, batch.column(0).slice(a, b - a).to_pylist(), strict=True):
+                    samples = len(stored) // unit * (2 * (unit - 4) + 1) if kind == "ima_adpcm" else len(stored)
+                    times = 2 if resample else 1
+                    head, meter, kept = pcm_head(times * samples, times * rate), Meter(), []
+                    hashed = hashlib.sha256(head)
+                    for pcm in doubled(pieces) if resample else pieces:
+                        meter.add(pcm)
+                        raw = pcm.astype("<i2").tobytes()
+                        hashed.update(raw)
+                        if with_media:
+                            kept.append(raw)
+                    row = (doc, n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-32:]), len(file), hashlib.sha256(file).hexdigest(), len(head) + 2 * meter.samples, hashed.hexdigest(), f"codec={kind} {meter}", times * rate)
+                    rows.append(row + (file, head + b"".join(kept)) * with_media)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    more = ", media binary, pcm binary" if with_media else ""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {COLUMNS}{more}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(" ".join(c) for c in names))

@@ -1,5 +1,7 @@
 import hashlib
+import io
 import random
+import wave
 import zlib
 
 import numpy as np
@@ -40,7 +42,7 @@ def test_adpcm_blocks_decode_together():
     assert telephony.decode_adpcm(blocks).tolist() == [one_block(b.tobytes()) for b in blocks]
 
 
-@pytest.mark.parametrize("codec", ["mulaw", "alaw", "ima_adpcm"])
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "ima_adpcm", None])
 def test_clips(spark, codec):
     texts = {1: "hello", 2: None, 3: "", 4: "é" * 400, 5: "x" * 576, 6: "hello", 7: "long " * 40_000}
     docs = spark.createDataFrame([*texts.items(), (None, "hello")], "doc_id long, text string").withColumns({"media": F.lit(1), "rate": F.lit(2)})
@@ -52,8 +54,14 @@ def test_clips(spark, codec):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
         kind, rate, block, stored = telephony.read_wav(r.media)
-        assert (kind, rate, bytes(stored)) == (codec, 8000, payload)
-        assert r.rate == 16000 and len(r.pcm) == 4 * len(telephony.decode(kind, stored, block))
+        assert (kind, rate, bytes(stored)) == (codec or telephony.BY_LENGTH[len(raw) % 3], 8000, payload)
+        pcm = [x for a in range(0, len(payload), 576) for x in one_block(payload[a : a + 576])] if kind == "ima_adpcm" else [int((telephony.MULAW if kind == "mulaw" else telephony.ALAW)[x]) for x in payload]
+        twice = [y for x, z in zip(pcm, [*pcm[1:], pcm[-1]]) for y in (x, (x + z) >> 1)]
+        power, crossings = sum(x * x for x in twice) // len(twice), sum((x < 0) != (z < 0) for x, z in zip(twice, twice[1:]))
+        assert r.feature == f"codec={kind} samples={len(twice)} power={power} crossings={crossings} peak={max(map(abs, twice))}"
+        with wave.open(io.BytesIO(r.pcm)) as clip:
+            assert clip.getparams()[:4] == (1, 2, 16000, len(twice)) and np.frombuffer(clip.readframes(len(twice)), "<i2").tolist() == twice
+        assert (r.rate, r.pcm_bytes, r.pcm_sha256) == (16000, len(r.pcm), hashlib.sha256(r.pcm).hexdigest())
     assert len({tuple(r)[1:] for r in got if r.doc_id in (1, 6, None)}) == 1
     assert telephony.store_texts(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
