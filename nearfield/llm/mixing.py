@@ -23,11 +23,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.storage import materialize
+from nearfield.llm.storage import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one (source, size) class are numbered in parts of about so many.
 CLASS_PART = 256
+#: Newton steps in one job, and which of all steps halve the bracket instead.
+TOGETHER, HALVING = 3, 8
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return by.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, steps: int = 40, tolerance: float = 1e-9, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, tolerance: float = 1e-9, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of ``docs`` as ``(doc_id, size, source_size, target, rate, copies, taken)``.
 
     size: words of the text; target: the words wanted of the row's source; rate:
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     targets = source_targets(sizes, weights, share, most)
     classes = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "size", "n", "source_size", "target"), "mix-classes")
-    dual = solve_dual(classes, most, steps, tolerance)
+    dual = solve_dual(classes, most, tolerance)
     rated = classes.join(dual.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     z = F.coalesce(F.try_divide(F.col("size").cast("double"), F.col("mean")), F.lit(0.0))
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.col("tilt") * z)))
@@ -86,11 +88,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return deal(sizes, planned, keep)
 
 
-def solve_dual(classes: DataFrame, most: int, steps: int, tolerance: float) -> DataFrame:
+def solve_dual(classes: DataFrame, most: int, tolerance: float) -> DataFrame:
     """Newton iterations for the tilt of every source: ``(source, mean, tilt, full)``; full: all of it is taken ``most`` times.
 
-    A step that leaves the bracket of the root is replaced by its middle.  The
-    state is a table of one row a source; the driver sees one counter a step.
+    A step that leaves the bracket of the root is replaced by its middle, as is every
+    :data:`HALVING`th one, so that the bracket shrinks and all sources end: within the
+    tolerance, or where the bracket is as narrow as numbers can tell.  The
+    state is a table of one row a source; a job makes :data:`TOGETHER` steps, and the driver sees one flag a job.
     """
     state = classes.groupBy("source").agg(
         F.max("target").alias("target"),
@@ -108,7 +112,8 @@ def solve_dual(classes: DataFrame, most: int, steps: int, tolerance: float) -> D
         F.lit(False).alias("done"),
     )
     state = materialize(state, "mix-state")
-    for _ in range(steps):
+
+    def step(state: DataFrame, turn: int) -> DataFrame:
         own = state.select(F.col("source").alias("s2"), *[c for c in state.columns if c not in ("source", "target")])
         at = classes.join(own, F.col("source").eqNullSafe(F.col("s2"))).where("not full and not done")
         z = F.try_divide(F.col("size").cast("double"), F.col("mean"))
@@ -117,13 +122,20 @@ def solve_dual(classes: DataFrame, most: int, steps: int, tolerance: float) -> D
         new = state.join(moments.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
         off = F.col("words") - F.col("target")
         new = new.withColumn("off", off).withColumn("low", F.when(F.col("off") < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("off") > 0, F.col("tilt")).otherwise(F.col("high")))
-        step = F.col("tilt") - F.try_divide(F.col("off"), F.col("slope"))
-        ended = F.col("done") | F.col("full") | F.col("off").isNull() | (F.abs("off") <= tolerance * F.greatest(F.col("target"), F.lit(1.0)))
-        inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
-        new = new.withColumn("done", ended).withColumn("tilt", F.when(ended, F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2))
-        state = materialize(new.select("source", "target", "mean", "full", "tilt", "low", "high", "done"), "mix-state")
-        if state.where("not done").isEmpty():
-            break
+        newton = F.col("tilt") - F.try_divide(F.col("off"), F.col("slope"))
+        ended = F.col("done") | F.col("full") | F.col("off").isNull() | (F.col("high") - F.col("low") <= 1e-12) | (F.abs("off") <= tolerance * F.greatest(F.col("target"), F.lit(1.0)))
+        inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high")) & F.lit(turn % HALVING > 0)
+        new = new.withColumn("done", ended).withColumn("tilt", F.when(ended, F.col("tilt")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
+        return new.select("source", "target", "mean", "full", "tilt", "low", "high", "done")
+
+    turn = 0
+    while not state.where("not done").isEmpty():
+        new = state
+        for turn in range(turn + 1, turn + 1 + TOGETHER):
+            new = step(new, turn)
+        new = materialize(new, "mix-state")
+        discard(state)
+        state = new
     return state.select("source", "mean", "tilt", "full")
 
 
