@@ -82,20 +82,21 @@ def crc_of(id_col: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> list[tuple[int, str, int]]:
     """At most ``most_rows`` rows ``(id, text, label)`` of each label, by the least hash of the id.
 
-    ``learn`` says which ids may be used.  Texts over ``most_bytes`` are left to
-    others, which bounds what the driver holds.
+    ``learn`` says which ids may be used.  Texts over ``most_bytes`` and null ones are
+    left to others, which bounds what the driver holds.  Ids with both labels are
+    left out; of an id's different texts the one of least hash counts.
     """
     good = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high")
-    good = good.select(F.col(id_col).cast("long").alias("sample_id"), F.col("low").cast("int").alias("sample_label"))
+    texts = docs.select(F.col(id_col).cast("long").alias("sample_id"), F.col(text_col).cast("string").alias("sample_text")).where(F.octet_length("sample_text") <= most_bytes)
+    good = good.select(F.col(id_col).cast("long").alias("sample_id"), F.col("low").cast("int").alias("sample_label")).join(texts.select("sample_id"), "sample_id", "left_semi")
     picked = []
     for value in (0, 1):
         picked += good.where(F.col("sample_label") == value).orderBy(F.xxhash64("sample_id"), "sample_id").limit(most_rows).collect()
     if not picked:
         return []
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, good.schema))  # 2 * most_rows rows at most
-    rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text")).where((F.octet_length("sample_text") <= most_bytes)).join(chosen, "sample_id")
-    found = {(r.sample_id, r.sample_text): r.sample_label for r in rows.collect()}
-    return sorted((i, t, y) for (i, t), y in found.items())
+    rows = texts.join(chosen, "sample_id").groupBy("sample_id", "sample_label").agg(F.min(F.struct(F.xxhash64("sample_text"), "sample_text"))["sample_text"].alias("sample_text"))
+    return sorted((r.sample_id, r.sample_text, r.sample_label) for r in rows.collect())
 
 
 def sparse_documents(texts: list[str], grams: tuple[int, ...], buckets: int, lower: bool = False, distinct: bool = False, order: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
