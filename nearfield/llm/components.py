@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.storage import materialize
+from nearfield.llm.storage import discard, materialize
 
 #: A node is busy above this many neighbours, or above this share of all edges if that is more.
 BUSY, SHARE = 4096, 5000
@@ -45,6 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = _tie(large, low, limit).select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
         new = materialize(small, "components")
         changed = bool(new.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(new, ["a", "b"], "left_anti").limit(1).count())
+        discard(now)
         now = new
     root = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

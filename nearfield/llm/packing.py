@@ -27,7 +27,7 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 class Levels:
     """Open windows of one shard, by fill level."""
 
-    def __init__(self, capacity: int, first: int, most_open: int = 2048):
+    def __init__(self, capacity: int, first: int, most_open: int):
         self.capacity, self.next_id, self.most_open = capacity, first, most_open
         self.count = np.zeros(capacity + 1, np.int64)
         self.windows: list[list[list]] = [[] for _ in range(capacity + 1)]  # by level: windows, each [id, pieces]
@@ -118,7 +118,7 @@ class Levels:
         return self.flush()
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, most_open: int = 8192) -> DataFrame:
     """Pack every document of ``docs`` into sequences of at most ``capacity`` tokens.
 
     A document is its ids by the tokenizer file ``tokenizer`` without special
@@ -132,7 +132,10 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     as they occur.  Other columns are ignored, whatever their names.  An empty
     table gives no rows.  A shard's last sequence may be shorter than
     ``capacity``; every other sequence is full, so padding is under one window a
-    shard.  Rows depend on the input's partitions and on the order in them only.
+    shard.  A shard holds at most ``most_open`` open windows, which bounds its memory:
+    when there are that many, which mixed lengths don't reach in a shard of ordinary
+    size, the fuller ones are filled up with cut pieces of the emptier ones, and the
+    level array begins anew; no token is lost or padded by that.  Rows depend on the input's partitions and on the order in them only.
     """
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         coder = CachedBPE(tokenizer)
         context = TaskContext.get()
-        levels = Levels(capacity, (context.partitionId() if context else 0) << 33)
+        levels = Levels(capacity, (context.partitionId() if context else 0) << 33, most_open)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:

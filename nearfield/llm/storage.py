@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,5 +27,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, which cuts its lineage."""
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote; nothing that is still to be computed may read it."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -28,7 +28,7 @@ def test_ids_are_the_librarys(texts):
 
 def test_level_choice_is_least_sum_of_squares():
     rng = random.Random(3)
-    levels = Levels(32, 0)
+    levels = Levels(32, 0, 8192)
     for _ in range(400):
         size = rng.randint(1, 32)
         before = levels.count[1:32].copy()
