@@ -216,7 +216,7 @@ def _one_row_an_id(raw: DataFrame) -> DataFrame:
     return raw.join(repeated, "id", "left_anti").unionByName(picked)
 
 
-def _level(tries: DataFrame, base: DataFrame, classes: DataFrame, level: int, full: int, block: int, block_bytes: int, verify: Callable) -> DataFrame:
+def _level(tries: DataFrame, texts: DataFrame, level: int, full: int, block: int, block_bytes: int, verify: Callable) -> DataFrame:
     """Links between documents whose longest common prefix in any tree has ``level`` values."""
     at = tries.withColumn("prefix", F.expr(f"substring(path, 1, {4 * level})"))
     child = F.xxhash64(F.expr(f"substring(path, {4 * level + 1}, 4)"))
@@ -231,8 +231,6 @@ def _level(tries: DataFrame, base: DataFrame, classes: DataFrame, level: int, fu
     members = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     members = members.select("tree", "prefix", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("tree", "prefix", "id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wanted = members.select("id").distinct().join(classes, "id").select("id", "mark", "copies", "sig")
-    texts = base.join(wanted, ["id", "mark"]).select("id", "copies", "sig", "text").dropDuplicates(["id"])
     filled = members.join(texts, "id").select("tree", "prefix", "one", "two", "side", "id", "copies", "sig", "text")
     return materialize(filled.groupBy("tree", "prefix", "one", "two").applyInArrow(verify, "id long, links long, linked_rows long, least double, edge long"), "forest-links")
 
@@ -265,10 +263,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     crowded = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     tries = paths.join(crowded, "node").select("tree", "path", "id", "bytes")
     tries = materialize(tries.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path"), "forest-tries")
+    wanted = tries.select("id").distinct().join(classes, "id").select("id", F.col("mark").alias("own"), "copies", "sig")
+    texts = base.join(wanted, "id").where("mark = own").dropDuplicates(["id"]).select("id", "copies", "sig", "text")
+    texts = materialize(texts, "forest-texts")  # once for all levels
     levels: list[DataFrame] = []
     lowest = 1.0
     for level in range(full_depth, floor - 1, -1):
-        levels.append(_level(tries, base, classes, level, full_depth, block, block_bytes, _verify(shingle, threshold, trees, full_depth, level)))
+        levels.append(_level(tries, texts, level, full_depth, block, block_bytes, _verify(shingle, threshold, trees, full_depth, level)))
         seen = levels[-1].where("edge is null").agg(F.min("least")).first()[0]
         lowest = lowest if seen is None else min(lowest, seen)
         expected = max(threshold, lowest - margin) if lowest < 1 else threshold
