@@ -110,9 +110,13 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH captures AS (
     SELECT page_id, CAST(page_id * 7919 % 365 AS INTEGER) AS day,
-        rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS h,
-        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS p
-    FROM pages
+        rtrim(lower(CASE WHEN starts_with(net, '[') THEN split_part(net, ']', 1) || ']' ELSE split_part(net, ':', 1) END), '.') AS h,
+        split_part(split_part(substr(rest, length(authority) + 1), '?', 1), '#', 1) AS p
+    FROM (SELECT *, list_extract(string_split(authority, '@'), -1) AS net
+        FROM (SELECT page_id, substr(url, strpos(url, '://') + 3) AS rest,
+                split_part(split_part(split_part(substr(url, strpos(url, '://') + 3), '/', 1), '?', 1), '#', 1) AS authority
+            FROM pages WHERE strpos(url, '://') > 1)
+        UNION ALL BY NAME SELECT page_id FROM pages WHERE url IS NULL OR strpos(url, '://') <= 1)
 ), hosts AS (
     SELECT DISTINCT h, length(h) AS n, substr(h, strpos(h, '.') + 1) AS up FROM captures WHERE h <> ''
 ), log AS (

@@ -112,26 +112,39 @@ def test_archive_of_nothing_and_damage(spark):
 
 
 
-def test_url_lists_equal_brute_force(spark):
+def plain(kind, pattern):
+    if pattern is None or kind == "nonsense":
+        return None
+    host, slash, path = pattern.partition("/")
+    host = host.lower().rstrip(".")
+    return host.lstrip(".") if kind == "domain" else host if kind == "host" else f"{host}/{path}"
+
+
+@pytest.mark.parametrize("most_broadcast", [1 << 20, 0])
+def test_url_lists_equal_brute_force(spark, most_broadcast):
+    from urllib.parse import urlsplit
+
     rng = random.Random(9)
-    patterns = [("host", "a.x.org"), ("domain", "x.org"), ("domain", "org"), ("prefix", "a.x.org/d/"), ("prefix", "a.x.org/d/e"), ("host", "B.Y.com"), ("nonsense", "a"), ("domain", None)]
-    log = [(*rng.choice(patterns), rng.choice(["l1", "l2"]), rng.choice([*range(12), None]), rng.choice(["add", "remove", "add"])) for _ in range(120)]
+    patterns = [("host", "a.x.org"), ("domain", ".X.org"), ("domain", "org"), ("prefix", "a.x.org/d/"), ("prefix", "A.X.org/d/"), ("prefix", "a.x.org/d/e"), ("prefix", "a.x.org/D/"), ("prefix", "x.org"), ("host", "B.Y.com"), ("host", "[2001:db8::1]"), ("domain", "[2001:DB8::2]"), ("host", "["), ("nonsense", "a"), ("domain", None)]
+    log = [(*rng.choice(patterns), rng.choice(["l1", "l2"]), rng.choice([*range(12), None]), rng.choice(["add", "remove", "add"])) for _ in range(200)]
     entries = spark.createDataFrame(log, "kind string, pattern string, list_name string, at int, action string")
-    urls = ["http://a.x.org/d/e", "https://u:p@A.x.org:80/d/e?q#f", "http://a.x.org/d/ef", "http://x.org", "http://xx.org/d/", "http://b.y.com./", "nothing", "", None, "http://a.x.org/d"]
-    captures = [(i, rng.choice(urls), rng.choice([*range(-1, 14), None])) for i in range(150)]
+    urls = ["http://a.x.org/d/e", "https://u:p@A.x.org:80/d/e?q#f", "http://a.x.org/d/ef", "http://x.org", "http://xx.org/d/", "http://b.y.com./", "nothing", "", None, "http://a.x.org/d", "http://u@[2001:DB8::1]:8080/d/x", "http://[2001:db8::2]", "http://a.x.org?/d/"]
+    captures = [(i, rng.choice(urls), rng.choice([*range(-1, 14), None])) for i in range(250)]
     captures += captures[:5]
     table = spark.createDataFrame(captures, "pid long, u string, t int").withColumns({"key": F.lit(1), "spans": F.lit(2), "url": F.lit(3)})
-    got = url_lists.judge(table, entries, id_col="pid", url_col="u", at_col="t").collect()
+    got = url_lists.judge(table, entries, id_col="pid", url_col="u", at_col="t", most_broadcast=most_broadcast).collect()
     assert len(got) == len(captures)
     by = {r.id: r for r in got}
+    log = [(k, plain(k, p), *rest) for k, p, *rest in log]
     for i, u, t in captures:
         n = 0
         if u and u.startswith("http") and t is not None:
-            rest = u.split("://")[1].split("#")[0].split("?")[0]
-            host, _, path = rest.partition("/")
-            host, path = host.rpartition("@")[2].partition(":")[0].lower().rstrip("."), "/" + path
-            for kind, pattern in {p for p in patterns if p[1] and p[0] != "nonsense"}:
-                hit = host == pattern.lower() if kind == "host" else host == pattern or host.endswith("." + pattern) if kind == "domain" else (host + path == pattern or (pattern.endswith("/") and (host + path).startswith(pattern)) or (host + path).startswith(pattern + "/") and False)
+            parts = urlsplit(u)
+            host, path = parts.hostname.rstrip("."), parts.path or "/"
+            host = f"[{host}]" if ":" in host else host
+            for kind, pattern in {(k, p) for k, p, *_ in log if p}:
+                whole = host + path
+                hit = host == pattern if kind == "host" else host == pattern or host.endswith("." + pattern) if kind == "domain" else whole == pattern or (pattern.endswith("/") and whole.startswith(pattern))
                 n += sum(hit and active_ties(log, kind, pattern, name, t) for name in ("l1", "l2"))
         assert by[i].n_matches == n and by[i].blocked == (n > 0), (u, t)
     assert url_lists.judge(table.limit(0), entries, id_col="pid", url_col="u", at_col="t").count() == 0
