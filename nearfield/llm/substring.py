@@ -315,6 +315,19 @@ def repeated_windows(doc: np.ndarray, anchor: np.ndarray, offset: np.ndarray, wi
             yield o, hit
 
 
+def _read_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of :meth:`Chunk.joined`, in pieces that end at a blank."""
+    out, a = [np.zeros((3, 0), np.int64)], 0
+    while a < len(text):
+        b = text.find(b" ", min(a + piece, len(text) - 1)) + 1
+        buf = np.frombuffer(text, np.uint8, b - a, a)
+        starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
+        out.append(np.stack([starts + a, ends + a, span_hashes(buf, starts, ends).view(np.int64)]))
+        a = b
+    starts, ends, hashes = np.concatenate(out, axis=1)
+    return starts, ends, hashes.view(U64)
+
+
 def _subtree(table: pa.Table, length: int) -> pa.Table:
     """Back to each chunk: rows and first words of its windows that a document with a smaller id holds."""
     chunks = table.column("chunk").to_pylist()
@@ -326,12 +339,11 @@ def _subtree(table: pa.Table, length: int) -> pa.Table:
             continue
         n = int(np.frombuffer(buf, np.int64, 1)[0])
         entries.append(np.frombuffer(buf, ENTRY, n, 8))
-        texts.append(np.frombuffer(buf, np.uint8, -1, 8 + n * ENTRY.itemsize))
+        texts.append(memoryview(buf)[8 + n * ENTRY.itemsize :])
         of.append(np.full(n, i))
     if entries:
-        entry, text, of_ = np.concatenate(entries), np.concatenate(texts), np.concatenate(of)
-        starts, ends, _ = word_spans(text, np.array([0, len(text)]))
-        number = word_numbers(text, starts, ends, span_hashes(text, starts, ends))
+        entry, of_, text = np.concatenate(entries), np.concatenate(of), b"".join(texts)
+        number = word_numbers(np.frombuffer(text, np.uint8), *_read_words(text))
         offset, windows = entry["offset"].astype(np.int64), entry["windows"].astype(np.int64)
         size = windows + length - 1
         anchor = np.cumsum(size) - size + offset
@@ -416,7 +428,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keep = [id_col] if keep is None else keep
     total, rows_ = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count(F.lit(1))).first()
     chunks = max(1, -(-(total or 0) // chunk_bytes), -(-rows_ // 200_000))
-    parts = max(1, -(-chunks // 2))
+    parts = chunks
     spread = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("row id"),
