@@ -221,7 +221,11 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         def finish() -> None:
             stream.close()
             name = f"part-{number:07d}-{len(done):04d}.warc.gz"
-            system.move(temporary, f"{root}/{name}")
+            there = system.get_file_info(f"{root}/{name}")
+            if there.type == fs.FileType.File and there.size == size and _digest(system, there.path) == hashed.hexdigest():
+                system.delete_file(temporary)  # an earlier try of this task has written it
+            else:
+                system.move(temporary, f"{root}/{name}")
             done.append((name, count, size, hashed.hexdigest()))
 
         for i in (i for i in order for _ in range(times[i].as_py())):
@@ -245,9 +249,26 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     written = rows.groupBy("shard").cogroup(revisits.groupBy("revisit_shard")).applyInArrow(shard, "file string, records long, bytes long, sha256 string")
     written.write.json(f"{folder}/_{MANIFEST}.writing")
     _rename(spark, f"{folder}/_{MANIFEST}.writing", f"{folder}/_{MANIFEST}")
+    _sweep(spark, folder)
     return manifest(spark, folder)
 
 
+def _digest(system, path: str) -> str:
+    digest = hashlib.sha256()
+    with system.open_input_stream(path) as stream:
+        while piece := stream.read(1 << 20):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """Delete files that lost tasks left under temporary names; all tasks have ended."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/.writing-*")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), False)
+
+
 def _rename(spark: SparkSession, old: str, new: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -263,22 +284,35 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every record of a committed archive.
 
     Lengths and digests are checked record by record, and the files against the
-    manifest by name and size.
+    manifest by name, size, number of records and SHA-256: the archive is parsed once,
+    into a table in the shared folder, before this returns.
     """
     listed = manifest(spark, folder)
     if listed.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder)
-    there = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
-    if not there.join(listed, ["file", "bytes"], "full").where("sha256 is null").isEmpty() or not listed.join(there, ["file", "bytes"], "left_anti").isEmpty():
+    files = spark.read.option("pathGlobFilter", "part-*.warc.gz").format("binaryFile").load(folder)
+
+    def differs(there: DataFrame, keys: list[str]) -> bool:
+        return not there.join(listed, keys, "left_anti").isEmpty() or not listed.join(there, keys, "left_anti").isEmpty()
+
+    if differs(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes")), ["file", "bytes"]):
         raise ValueError(f"files under {folder} are not those of the manifest")
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
         for batch in parts:
-            for content in batch.column(0):
-                rows = [parse_record(r) for r in members(content.as_buffer().to_pybytes())]
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer().to_pybytes()
+                rows = [parse_record(r) for r in members(data)]
+                # what is known of the file goes with its first record
+                first = (path.rsplit("/", 1)[-1], len(rows), len(data), hashlib.sha256(data).hexdigest())
+                rows = [row + (first if i == 0 else (None,) * 4) for i, row in enumerate(rows)]
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.select("content").mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    parsed = materialize(files.select("path", "content").mapInArrow(parse, f"{columns}, file string, records long, bytes long, sha256 string"), "warc-parsed")
+    keys = ["file", "records", "bytes", "sha256"]
+    if differs(parsed.where("file is not null").select(*keys), keys):
+        raise ValueError(f"files under {folder} are not those of the manifest")
+    return parsed.drop(*keys)

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import random
 import wave
 import zlib
@@ -109,6 +110,21 @@ def test_archive_of_nothing_and_damage(spark):
     extra.write_bytes(b"more")
     with pytest.raises(ValueError):
         warc.read(spark, folder)
+    extra.unlink()
+    part = next(extra.parent.glob("part-*.gz"))
+    for checksum in extra.parent.glob(".part-*.crc"):
+        checksum.unlink()
+    other = warc.member(warc.record_bytes(1, 0, "u", b"y", hashlib.sha1(b"y").hexdigest(), None, "2024-01-01T00:00:00Z"), 6)
+    assert warc.read(spark, folder).count() == 1
+    listed = warc.manifest(spark, folder).first()
+    changed = {**listed.asDict(), "bytes": len(other)}
+    part.write_bytes(other)  # a whole record of the size listed, but another one
+    for old in extra.parent.glob("_manifest/part-*"):
+        old.write_text(json.dumps(changed) + "\n")
+    for checksum in extra.parent.glob("_manifest/.*.crc"):
+        checksum.unlink()
+    with pytest.raises(ValueError):
+        warc.read(spark, folder)
 
 
 
