@@ -3,7 +3,8 @@
 Single queries plan as TakeOrderedAndProject.  Batches keep the k best of each
 block next to the rows (numpy) and then of each query (a ranked window, which
 Spark limits before its shuffle).  A query set of up to ``small`` rows is sent to
-all tasks; a larger one is cut into blocks that meet blocks of rows.
+all tasks; a larger one is cut into blocks that meet blocks of rows.  Vectors of
+another length than the queries fail both, as they do the plan of columns.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatch
-from nearfield.functions.metrics import Metric, distance_prepared, distances_batch, prepare, prepare_array, vector_literal
+from nearfield.functions.metrics import Metric, distance_prepared, distances_batch, l2_squared_batch, prepare, prepare_array, vector_literal
 
 HITS = "qid long, id long, distance double"
 _HITS = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
@@ -30,16 +31,30 @@ def check_width(vectors: DataFrame, dim: int, vector_col: str = "vector") -> Non
             raise DimensionMismatch(dim, n)
 
 
+def check_one_width(queries: DataFrame) -> int:
+    """The length of all queries' vectors; 0 without any."""
+    low, high = queries.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if low != high:
+        raise DimensionMismatch(low, high)
+    return low or 0
+
+
+def of_width(vector: Column, dim: Column) -> Column:
+    """``vector``, null where it is null; the query fails where it hasn't ``dim`` components."""
+    wrong = F.raise_error(F.concat(F.lit("dimension mismatch: expected "), dim.cast("string"), F.lit(", got "), F.size(vector).cast("string")))
+    return F.when(vector.isNull() | (F.size(vector) == dim), vector).otherwise(wrong.cast("array<double>"))
+
+
 def knn(vectors: DataFrame, query: list[float], k: int, metric: str | Metric = "l2", where: Column | None = None) -> DataFrame:
     """``(id, distance)`` of the ``k`` rows of ``vectors(id, vector, ...)`` nearest to one query, ties by id.
 
-    ``where`` is applied before distances, so it reaches the scan.  Vectors of
-    another length have a null distance and are left out.
+    ``where`` is applied before distances, so it reaches the scan.  A vector of
+    another length fails the query.
     """
     metric = Metric.parse(metric)
     q = [float(x) for x in prepare_array(metric, np.asarray(query, np.float64))]
     rows = vectors if where is None else vectors.where(where)
-    near = rows.select("id", distance_prepared(metric, prepare(metric, F.col("vector")), vector_literal(q)).alias("distance"))
+    near = rows.select("id", distance_prepared(metric, prepare(metric, of_width(F.col("vector"), F.lit(len(q)))), vector_literal(q)).alias("distance"))
     return near.where("distance is not null").orderBy("distance", "id").limit(max(k, 0))
 
 
@@ -53,18 +68,31 @@ def best_rows(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], distances[some]))[:k]]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``dim`` components; a row of another length raises."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    wrong = (sizes := np.diff(np.asarray(column.offsets))) != dim
+    if wrong.any():
+        raise DimensionMismatch(dim, int(sizes[wrong][0]))
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def _nearest(metric: Metric, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int) -> list[np.ndarray]:
     """Columns of :data:`HITS`; both sides prepared."""
     parts: list[tuple] = []
+    square = (block**2).sum(1) if metric is Metric.L2 else None
     for a in range(0, len(queries), 64):
-        for i, row in enumerate(distances_batch(metric, queries[a : a + 64], block)):
-            best = best_rows(row, ids, k)
-            parts.append((np.full(len(best), qids[a + i]), ids[best], row[best]))
+        some = queries[a : a + 64]
+        if square is None or len(block) <= 4 * k:
+            near = [(np.arange(len(block)), row) for row in distances_batch(metric, some, block)]
+        else:  # by one product, which is off by less than the slack; those within reach again by differences
+            own = (some**2).sum(1)
+            rough = square - 2 * some @ block.T
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + square.max())
+            near = [(at, l2_squared_batch(q, block[at])) for q, at in zip(some, (np.flatnonzero(r <= e) for r, e in zip(rough, edge, strict=True)), strict=True)]
+        for i, (at, row) in enumerate(near):
+            best = best_rows(row, ids[at], k)
+            parts.append((np.full(len(best), qids[a + i]), ids[at[best]], row[best]))
     return [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0) for j in range(3)]
 
 
@@ -74,7 +102,7 @@ def _scan(metric: Metric, qids: np.ndarray, queries: np.ndarray, k: int) -> Call
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = prepare_array(metric, _matrix(batch.column(1)))
+            block = prepare_array(metric, _matrix(batch.column(1), queries.shape[1]))
             kept.append(_nearest(metric, qids, queries, batch.column(0).to_numpy(), block, k))
             if len(kept) > 8:
                 kept = [_merge(kept, k)]
@@ -104,8 +132,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     """``(qid, rank, id, distance)`` for each row of ``queries(qid, vector)``.
 
     ``strategy``: ``numpy`` or ``sql`` (column expressions only; for small query
-    sets).  Rows and queries must have vectors of one length; rows with a null
-    vector take no part.  ``k`` of 0 or less gives no rows.
+    sets).  Rows and queries must have vectors of one length, or the query fails
+    with a dimension mismatch; rows with a null vector take no part.  ``k`` of 0 or less gives no rows.
     """
     metric = Metric.parse(metric)
     rows = vectors if where is None else vectors.where(where)
@@ -114,11 +142,12 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     if k <= 0:
         return rank_hits(rows.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance")), 0)
     if strategy == "sql":
+        check_one_width(asked)
         left = asked.select("qid", prepare(metric, F.col("vector")).alias("q"))
         if left.limit(small + 1).count() <= small:
             left = F.broadcast(left)
         pairs = rows.select("id", prepare(metric, F.col("vector")).alias("v")).crossJoin(left)
-        return rank_hits(pairs.select("qid", "id", distance_prepared(metric, F.col("q"), F.col("v")).alias("distance")).where("distance is not null"), k)
+        return rank_hits(pairs.select("qid", "id", distance_prepared(metric, F.col("q"), of_width(F.col("v"), F.size("q"))).alias("distance")).where("distance is not null"), k)
     first = asked.limit(small + 1).collect()
     if len(first) <= small:
         if not first:
@@ -131,6 +160,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
         if spread:
             rows = rows.repartition(spread)
         return rank_hits(rows.mapInArrow(_scan(metric, qids, q, k), HITS), k)
+    dim = check_one_width(asked)
     parts = max(1, -(-rows.count() // (8 * block)))
     q_parts = max(1, -(-asked.count() // block))
     left = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"), "id", "vector")
@@ -139,7 +169,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _HITS.empty_table()
-        columns = _nearest(metric, b.column("qid").to_numpy(), prepare_array(metric, _matrix(b.column("q"))), a.column("id").to_numpy(), prepare_array(metric, _matrix(a.column("vector"))), k)
+        columns = _nearest(metric, b.column("qid").to_numpy(), prepare_array(metric, _matrix(b.column("q"), dim)), a.column("id").to_numpy(), prepare_array(metric, _matrix(a.column("vector"), dim)), k)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _HITS, strict=True)], schema=_HITS)
 
     return rank_hits(left.groupBy("part", "q_part").cogroup(right.groupBy("of_part", "own_part")).applyInArrow(meet, HITS), k)

@@ -84,3 +84,15 @@ def test_scalar_quantizer(spark):
     assert [list(r.v) for r in back] == [[0, 5], [255, 5], [101, 5]]
     with pytest.raises(InvalidParameter):
         ScalarQuantizer((0.0,), (0.0,))
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 1}, {"strategy": "sql"}])
+def test_vectors_of_another_length_fail_the_search(spark, options):
+    rows = spark.createDataFrame([(1, [0.0, 1.0, 2.0]), (2, [0.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0])], "qid long, vector array<double>")
+    with pytest.raises(Exception, match="dimension"):
+        exact.knn_batch(rows, asked, 2, **options).collect()
+    with pytest.raises(Exception, match="dimension"):
+        exact.knn(rows, [0.0, 0.0], 2).collect()
+    with pytest.raises(DimensionMismatch):
+        exact.knn_batch(rows, spark.createDataFrame([(0, [0.0]), (1, [1.0, 0.0])], "qid long, vector array<double>"), 2, **options)
