@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatch, EmptyIndex, InvalidParameter
 from nearfield.functions.metrics import Metric, prepare_array
-from nearfield.functions.rng import SplitMix64
+from nearfield.functions.rng import SplitMix64, floats, integers
 
 MOST_ID = (1 << 63) - 1
 
@@ -66,9 +66,13 @@ def sample(count: int, dim: int, metric: str | Metric = "l2", clusters: int = 16
         raise InvalidParameter("count, dim and clusters must be positive")
     metric = Metric.parse(metric)
     rng = SplitMix64(seed)
-    centres = np.array([[rng.next_f64() * 2 - 1 for _ in range(dim)] for _ in range(clusters)], np.float32)
+    centres = (floats(rng.state, np.arange(clusters * dim)).reshape(clusters, dim) * 2 - 1).astype(np.float32)
+    rng.skip(clusters * dim)
+    # each row takes one number for its centre and then one a component
+    first = np.arange(count) * (dim + 1)
+    centre = (integers(rng.state, first) % np.uint64(clusters)).astype(np.int64)
     out = np.empty((count, dim), np.float32)
-    for row in range(count):
-        centre = centres[rng.below(clusters)]
-        out[row] = centre + np.array([(rng.next_f64() * 2 - 1) * spread for _ in range(dim)], np.float32)
+    for component in range(dim):
+        away = (floats(rng.state, first + 1 + component) * 2 - 1) * spread
+        out[:, component] = centres[centre, component] + away.astype(np.float32)
     return list(range(count)), prepare_array(metric, out).astype(np.float32)
