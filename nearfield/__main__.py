@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
+from nearfield.operators.hnsw import HnswConfig
 from nearfield.sources import collection as collections
 from nearfield.sources.collection import Collection
 from nearfield.sources.vectors import from_numpy, parse_vector, read_jsonl, read_queries, sample
@@ -25,6 +26,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub.add_parser("list")
     sub.choices["create"].add_argument("--dim", type=int, required=True)
     sub.choices["create"].add_argument("--metric", default="l2")
+    for option, default in (("--m", 16), ("--m0", None), ("--ef-construction", 200), ("--ef-search", 64)):
+        sub.choices["create"].add_argument(option, type=int, default=default)
     sub.choices["insert"].add_argument("path")
     sub.choices["delete"].add_argument("ids", type=int, nargs="+")
     search = sub.choices["search"]
@@ -33,7 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     search.add_argument("--k", type=int, default=10)
     search.add_argument("--filter")
     search.add_argument("--ef", type=int)
-    search.add_argument("--strategy", default="exact", choices=["exact", "graph"])
+    search.add_argument("--strategy", default="auto", choices=["auto", "exact", "graph"])
     for name in ("flush", "compact"):
         sub.choices[name].add_argument("--graph-shards", type=int, default=0)
     for option, default in (("--count", 1000), ("--dim", 16), ("--clusters", 16), ("--seed", 7)):
@@ -54,7 +57,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
     if args.command == "list":
         return collections.list_collections(spark, args.root)
     if args.command == "create":
-        return Collection.create(spark, args.root, args.name, args.dim, args.metric).stats()
+        config = HnswConfig(args.m, 2 * args.m if args.m0 is None else args.m0, args.ef_construction, args.ef_search)
+        return Collection.create(spark, args.root, args.name, args.dim, args.metric, config).stats()
     if args.command == "sample":
         c = Collection.open_or_create(spark, args.root, args.name, args.dim, args.metric)
         n = c.upsert(from_numpy(spark, *sample(args.count, args.dim, args.metric, args.clusters, args.seed)))

@@ -75,6 +75,8 @@ class Service:
     root: str
     limits: Limits = field(default_factory=Limits)
     read_only: bool = False
+    #: Vectors of a segment in one graph.
+    graph_rows: int = 100_000
 
     def __post_init__(self):
         self.started = time.time()
@@ -155,11 +157,11 @@ class Service:
 
     def flush(self, name: str) -> dict:
         self._writable()
-        return self._call("flush", lambda: {"segment": self._open(name).flush()})
+        return self._call("flush", lambda: {"segment": (c := self._open(name)).flush(-(-c.pending_rows // self.graph_rows))})
 
     def compact(self, name: str) -> dict:
         self._writable()
-        return self._call("compact", lambda: {"segment": self._open(name).compact()})
+        return self._call("compact", lambda: {"segment": (c := self._open(name)).compact(-(-c.gauges()["rows"] // self.graph_rows))})
 
     def verify(self, name: str) -> dict:
         return self._call("verify", lambda: self._open(name).verify() or {"ok": True})
@@ -176,7 +178,7 @@ class Service:
             c = self._open(name)
             asked = self.spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "qid long, vector array<double>")
             out: list[list[dict]] = [[] for _ in queries]
-            for r in c.search(asked, k, filter=filter, ef=ef, include_metadata=include_metadata).orderBy("qid", "rank").collect():
+            for r in c.search(asked, k, filter=filter, ef=ef, strategy="auto", include_metadata=include_metadata).orderBy("qid", "rank").collect():
                 hit = {"id": r.id, "distance": r.distance}
                 if include_metadata:
                     hit["metadata"] = {key: filters.untagged(v.asDict()) for key, v in r.metadata.items()} if r.metadata else None
@@ -186,6 +188,17 @@ class Service:
         return self._call("search", act)
 
     def metrics(self) -> dict:
-        """Calls, errors and seconds by operation, and gauges of each collection."""
-        gauges = {n: {k: v for k, v in self._open(n).stats().items() if isinstance(v, int)} for n in collections.list_collections(self.spark, self.root)}
+        """Calls, errors and seconds by operation, and gauges of each collection from its manifest."""
+        gauges = {n: self._open(n).gauges() for n in collections.list_collections(self.spark, self.root)}
         return {"calls": dict(self.counts), "seconds": dict(self.seconds), "collections": gauges}
+
+    def metrics_text(self) -> str:
+        """:meth:`metrics` in the text format that monitoring systems collect."""
+        m = self.metrics()
+        lines = ["# TYPE nearfield_uptime_seconds gauge", f"nearfield_uptime_seconds {time.time() - self.started:.3f}"]
+        for name, kind, values in (("nearfield_calls_total", "counter", m["calls"]), ("nearfield_call_seconds_total", "counter", m["seconds"])):
+            lines += [f"# TYPE {name} {kind}", *(f'{name}{{operation="{k}"}} {v}' for k, v in sorted(values.items()))]
+        for gauge in ("rows", "pending", "segments", "graphs"):
+            name = f"nearfield_collection_{gauge}"
+            lines += [f"# TYPE {name} gauge", *(f'{name}{{collection="{c}"}} {g[gauge]}' for c, g in sorted(m["collections"].items()))]
+        return "\n".join(lines) + "\n"

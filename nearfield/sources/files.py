@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,6 +41,25 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(temporary, target, options)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new file as a whole; false, without a change, if it is there already."""
+    temporary, fs = _open(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(temporary, True)
+    stream.write(text.encode())
+    stream.close()
+    target, _ = _open(spark, path)
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(temporary, target, options)
+    except Py4JJavaError:
+        fs.delete(temporary, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _open(spark, path)
     fs.delete(p, True)

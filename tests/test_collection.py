@@ -58,8 +58,11 @@ def test_errors_and_recovery(spark, tmp_path):
     assert c.upsert(rows(spark, [])) == 0
     c.upsert(rows(spark, [(1, [3, 4])]))
     assert c.get(1) == pytest.approx([0.6, 0.8])
-    rows(spark, [(5, [1, 1])]).write.parquet(f"{root}/c/pending-orphan")  # a writer that died before its commit
-    assert len(Collection.open(spark, root, "c")) == 1 and "pending-orphan" not in files.names(spark, f"{root}/c")
+    orphan = "pending-0000000001-dead"  # of a writer that died before its commit
+    rows(spark, [(5, [1, 1])]).write.parquet(f"{root}/c/{orphan}")
+    assert len(Collection.open(spark, root, "c")) == 1 and orphan in files.names(spark, f"{root}/c")
+    c.clean()
+    assert len(Collection.open(spark, root, "c")) == 1 and orphan not in files.names(spark, f"{root}/c")
     part = c.manifest["pending"][0]["part"]
     files.remove(spark, f"{root}/c/{part}")
     with pytest.raises(Corrupted):
@@ -122,6 +125,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("delete", "s", str(hits[0]["id"]))[1] == {"deleted": 1} and run("stats", "s")[1]["live"] == 49
     assert run("compact", "s")[0] == 0 and run("verify", "s")[1] == {"ok": True} and run("list")[1] == ["s"] == list_collections(spark, root[1])
     assert run("stats", "missing")[0] == 1
+    assert run("create", "t", "--dim", "4", "--m", "8", "--ef-construction", "50")[0] == 0
+    made = Collection.open(spark, root[1], "t").config
+    assert (made.m, made.m0, made.ef_construction) == (8, 16, 50)
 
 
 def test_stream(spark, tmp_path):
@@ -131,3 +137,83 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "upsert", [1.0], 1), (1, "upsert", [2.0], 2), (2, "upsert", [3.0], 1), (2, "delete", None, 2)], schema).write.parquet(f"{root}/in")
     start_ingest(spark.readStream.schema(schema).parquet(f"{root}/in"), spark, root, "c", f"{root}/check").awaitTermination()
     assert {r.id: list(r.vector) for r in Collection.open(spark, root, "c").live().collect()} == {1: [2.0]}
+
+
+def test_readers_and_writers_meet(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    c = Collection.create(spark, root, "c", 2)
+    c.upsert(rows(spark, [(1, [1, 1])]))
+    part = c._write("pending", c._log(rows(spark, [(2, [2, 2])]), "upsert"))  # written, not yet committed
+    reader = Collection.open(spark, root, "c")
+    reader.clean()
+    Service(spark, root).stats("c")
+    assert len(reader) == 1
+    c._commit(pending=[*c.manifest["pending"], part], next_seq=c.manifest["next_seq"] + 1)
+    c.verify()
+    assert len(c) == 2 and len(Collection.open(spark, root, "c")) == 2
+    # of two writers the second fails, keeps its state, and may try again
+    one, two = (Collection.open(spark, root, "c") for _ in range(2))
+    one.upsert(rows(spark, [(3, [3, 3])]))
+    with pytest.raises(Conflict):
+        two.upsert(rows(spark, [(4, [4, 4])]))
+    two.refresh()
+    two.upsert(rows(spark, [(4, [4, 4])]))
+    assert sorted(r.id for r in two.live().collect()) == [1, 2, 3, 4]
+    # a reader outlives one flush
+    old = Collection.open(spark, root, "c").live()
+    two.flush()
+    assert old.count() == 4
+    two.clean()
+    assert sorted(n.split("-")[0] for n in files.names(spark, f"{root}/c") if not n.startswith(("manifest", "."))) == ["pending"] * 4 + ["segment"]
+    two.upsert(rows(spark, [(5, [5, 5])]))
+    two.compact()
+    assert sorted(n.split("-")[0] for n in files.names(spark, f"{root}/c") if not n.startswith(("manifest", "."))) == ["pending", "segment", "segment"] and len(two) == 5
+
+
+def test_plan_doesnt_grow_with_parts(spark, tmp_path):
+    c = Collection.create(spark, f"file://{tmp_path}", "c", 1)
+    sizes = []
+    for n in range(12):
+        c.upsert(rows(spark, [(n, [n]), (0, [n])]))
+        plan = c.live()._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(plan.count("Relation"))
+    assert sizes[-1] == sizes[1] <= 3
+    assert {r.id: list(r.vector) for r in c.live().collect()} == {n: [float(n or 11)] for n in range(12)}
+
+
+def test_python_surface(spark, tmp_path):
+    c = Collection.create(spark, f"file://{tmp_path}", "c", 2)
+    c.add([1, 2], 7)
+    assert c.add_batch([[0, 0], [5, 5], [3, 4]], [1, 2, 1]) == 2 and c.remove(2) and not c.remove(2)
+    assert c.search_one([3, 4], 5) == [(1, 0.0), (7, 8.0)]
+    with pytest.raises(InvalidParameter):
+        c.add_batch([1, 2], [3])
+    upserts = spark.createDataFrame([(9, [1.0, 1.0], 1), (9, [2.0, 2.0], 3), (9, [0.0, 0.0], 2)], "id long, vector array<float>, at int").repartition(3)
+    assert c.upsert(upserts, order="at") == 1 and c.get(9) == [2.0, 2.0]
+
+
+def test_service_uses_graphs(spark, tmp_path):
+    s = Service(spark, f"file://{tmp_path}")
+    s.create("c", 2, ef_search=8)
+    s.upsert("c", [{"id": i, "vector": [i, i % 7]} for i in range(60)])
+    s.flush("c")
+    s.upsert("c", [{"id": 5, "vector": [500, 0]}, {"id": 60, "vector": [20.2, 6]}])
+    assert s.stats("c")["graphs"] == 1
+    got = s.search("c", [[20, 6], [5, 5]], 2, ef=64)
+    assert [h["id"] for h in got[0]] == [20, 60] and 5 not in [h["id"] for h in got[1]]
+    text = s.metrics_text()
+    assert 'nearfield_collection_graphs{collection="c"} 1' in text and 'nearfield_calls_total{operation="search"} 1' in text
+
+
+def test_batches_are_flushed_and_applied_once(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    c = Collection.create(spark, root, "c", 1)
+    schema = "id long, op string, vector array<float>, at long"
+    for n in range(7):
+        spark.createDataFrame([(n, "upsert", [float(n)], n), (n - 2, "delete", None, n)], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    start_ingest(stream, spark, root, "c", f"{root}/check", flush_parts=2, compact_segments=2).awaitTermination()
+    c.refresh()
+    assert len(c.manifest["pending"]) < 2 and len(c.manifest["segments"]) < 2 and c.manifest["streams"][f"{root}/check"] == 6
+    assert len(c) == 2
+    c.verify()
