@@ -8,6 +8,7 @@ probe it.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -25,6 +26,10 @@ from nearfield.operators.product_quantizer import ProductQuantizer
 from nearfield.sources import files
 
 
+#: Queries that one search sends to all tasks.
+TOGETHER = 65_536
+
+
 @dataclass(frozen=True)
 class IvfConfig:
     """``pq_m`` of 0 keeps the vectors; ``residual`` codes what is left after the list's centroid."""
@@ -163,10 +168,15 @@ class IvfIndex:
         return np.argsort(squared_distances(prepare_array(self.metric, queries), self.centroids), axis=1, kind="stable")[:, :n]
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-        """``(qid, rank, id, distance)`` for ``queries(qid, vector)``; ``allowed(id)`` limits the hits."""
-        asked = queries.select("qid", "vector").limit(65_537).collect()
-        if len(asked) > 65_536:
-            raise InvalidParameter("search at most 65,536 queries at once")
+        """``(qid, rank, id, distance)`` for ``queries(qid, vector)``; ``allowed(id)`` limits the hits.
+
+        Up to :data:`TOGETHER` queries are sent to the tasks at once; a larger set is searched part by part.
+        """
+        asked = queries.select("qid", "vector").limit(TOGETHER + 1).collect()
+        if len(asked) > TOGETHER:
+            parts = 2 * (-(-queries.count() // TOGETHER))
+            each = [self.search(queries.where(F.pmod(F.xxhash64("qid", F.lit(parts)), F.lit(parts)) == i), k, nprobe, allowed) for i in range(parts)]
+            return functools.reduce(DataFrame.unionByName, each)
         if not asked or k <= 0:
             return rank_hits(self.spark.createDataFrame([], HITS), k)
         for r in asked:
@@ -225,6 +235,11 @@ class IvfIndex:
     def contains(self, id: int) -> bool:
         return not self.live().where(F.col("id") == id).isEmpty()
 
+    def list_of(self, id: int) -> int | None:
+        """The list of a live id."""
+        row = self.live().where(F.col("id") == id).select("list").first()
+        return row.list if row else None
+
     def compact(self) -> None:
         """Rewrite the newest live rows, without training again."""
         old, rows = self._folder(), self.live().select("id", F.lit(1).cast("long").alias("seq"), F.lit(True).alias("live"), "vector", "codes", "list")

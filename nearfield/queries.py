@@ -8,7 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.api import Index
+from nearfield.errors import InvalidParameter
 from nearfield.functions import metrics
+from nearfield.functions.rng import SplitMix64
 from nearfield.operators import exact, hnsw
 from nearfield.operators.clustering import kmeans_table, nearest_centroid
 from nearfield.operators.ivf import IvfConfig, IvfIndex
@@ -16,7 +19,7 @@ from nearfield.operators.product_quantizer import ProductQuantizer, distances_by
 from nearfield.operators.scalar_quantizer import ScalarQuantizer
 from nearfield.plans import filters
 from nearfield.sources.collection import Collection
-from nearfield.sources.vectors import from_numpy, read_jsonl, sample
+from nearfield.sources.vectors import from_numpy, parse_vector, read_jsonl, read_queries, sample
 from nearfield.streaming.ingest import start_ingest
 from nearfield.tables import described, queries_of, read, vectors, work_dir
 
@@ -151,11 +154,15 @@ DESCRIBED = """SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, e.labe
     FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels y ON y.doc_id = e.vec_id"""
 
 
+def _with_boolean(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("good", F.col("quality") == 1)
+
+
 def _filter_query(name: str, text: str, sql: str) -> None:
     """Ids that pass a filter, over typed columns and over the metadata map, which must agree."""
 
     def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = described(spark, sf_dir)
+        rows = _with_boolean(described(spark, sf_dir))
         return rows.where(filters.to_column(text, filters.TypedColumns(rows.schema))).select("id")
 
     def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,21 +175,22 @@ def _filter_query(name: str, text: str, sql: str) -> None:
 
 def described_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, metadata)`` of :func:`described`, fields that are null being absent."""
-    rows = described(spark, sf_dir)
+    rows = _with_boolean(described(spark, sf_dir))
 
     def value(name: str, kind: str) -> Column:
         c = F.col(name)
         none = {"kind": "string", "b": "boolean", "n": "double", "s": "string"}
-        parts = {"kind": F.lit(kind), "b": F.lit(None).cast("boolean"), "n": c.cast("double") if kind == "num" else F.lit(None).cast("double"), "s": F.array_join(c, ",") if kind == "list" else c.cast("string")}
+        parts = {"kind": F.lit(kind), "b": c if kind == "bool" else F.lit(None).cast("boolean"), "n": c.cast("double") if kind == "num" else F.lit(None).cast("double"), "s": F.array_join(c, ",") if kind == "list" else c.cast("string")}
         item = "struct<kind: string, b: boolean, n: double, s: string>"
         items = F.transform(c, lambda x: F.struct(F.lit("str").alias("kind"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("double").alias("n"), x.alias("s"))) if kind == "list" else F.lit(None).cast(f"array<{item}>")
         full = F.struct(*[parts[k].cast(none[k]).alias(k) for k in parts], items.alias("items"))
         return F.when(c.isNotNull(), F.array(F.struct(F.lit(name).alias("key"), full.cast(filters.VALUE).alias("value")))).otherwise(F.array().cast(f"array<struct<key: string, value: {filters.VALUE}>>"))
 
-    kinds = {"label": "num", "lang": "str", "source": "str", "n_chars": "num", "quality": "num", "toxic": "num", "tags": "list"}
+    kinds = {"label": "num", "lang": "str", "source": "str", "n_chars": "num", "quality": "num", "toxic": "num", "tags": "list", "good": "bool"}
     return rows.select("id", "vector", F.map_from_entries(F.concat(*[value(n, k) for n, k in kinds.items()])).alias("metadata"))
 
 
+_filter_query("boolean", "good == true OR NOT good EXISTS AND label < 2", "coalesce(quality = 1, false) OR (quality IS NULL AND label < 2)")
 _filter_query("range", "label >= 3 AND label < 7 AND n_chars > 1500", "label >= 3 AND label < 7 AND n_chars > 1500")
 _filter_query("missing_not_equal", "quality != 1", "quality <> 1")
 _filter_query("not_of_missing", "NOT quality == 1", "NOT coalesce(quality = 1, false)")
@@ -256,20 +264,32 @@ def pq_asymmetric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(exact.rank_hits(found.withColumn("distance", F.round("distance", 9)), 10))
 
 
-@query()
+@query("SELECT true AS reached")
 def pq_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of asymmetric distances under trained codebooks."""
+    """Trained codebooks: asymmetric distances find a fifth of the nearest (vectors without clusters, 8 bytes each)."""
     rows = vectors(spark, sf_dir)
     quantizer = ProductQuantizer.train(rows, 8, 64, 10)
     found = distances_by_join(quantizer.encode(rows), queries_of(rows), quantizer.to_table(spark))
-    return exact.recall(exact.rank_hits(found, 10), exact.knn_batch(rows, queries_of(rows), 10), 10)
+    return _reached(exact.recall(exact.rank_hits(found, 10), exact.knn_batch(rows, queries_of(rows), 10), 10), 0.2)
+
+
+def _reached(measured: DataFrame, least: float) -> DataFrame:
+    return measured.select((F.col("recall") >= least).alias("reached"))
 
 
-@query()
+@query("SELECT count(*) AS assigned, true AS few_clusters, true AS nearer FROM embeddings")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is in one of 16 clusters, which are nearer to their rows than 16 rows taken as centres."""
     rows = vectors(spark, sf_dir)
-    centroids = kmeans_table(rows, 16, iterations=8)
-    return _assigned(rows, centroids).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    first = np.array([r.vector for r in rows.orderBy("id").limit(16).collect()])
+
+    def inertia(centroids: np.ndarray) -> DataFrame:
+        table = from_numpy(spark, np.arange(len(centroids)), centroids).select(F.col("id").cast("int").alias("cluster"), F.col("vector").alias("centre"))
+        placed = _assigned(rows, centroids).join(rows, "id").join(F.broadcast(table), "cluster")  # 16 rows
+        return placed.agg(F.sum(metrics.l2_squared(F.col("vector"), F.col("centre"))).alias("inertia"), F.count(F.lit(1)).alias("assigned"), (F.count_distinct("cluster") <= 16).alias("few_clusters"))
+
+    trained = inertia(kmeans_table(rows, 16, iterations=8))
+    return trained.crossJoin(inertia(first).select(F.col("inertia").alias("other"))).select("assigned", "few_clusters", (F.col("inertia") < F.col("other")).alias("nearer"))
 
 
 def _assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -303,26 +323,66 @@ def ivf_flat_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_ivf(spark, rows).search(queries_of(rows), 10, nprobe=16))
 
 
-@query()
+@query("SELECT true AS some, true AS rising, true AS complete")
 def ivf_flat_some_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall doesn't fall with more lists: one list finds something, all lists everything."""
     rows = vectors(spark, sf_dir)
-    return exact.recall(_ivf(spark, rows).search(queries_of(rows), 10, nprobe=8), exact.knn_batch(rows, queries_of(rows), 10), 10)
+    index, truth = _ivf(spark, rows), exact.knn_batch(rows, queries_of(rows), 10).persist()
+    recalls = [exact.recall(index.search(queries_of(rows), 10, nprobe=n), truth, 10).first()[0] for n in (1, 2, 4, 8, 16)]
+    return spark.createDataFrame([(recalls[0] > 0, recalls == sorted(recalls), recalls[-1] == 1.0)], "some boolean, rising boolean, complete boolean")
 
 
-@query(_knn_sql("cosine"))
+@query("SELECT true AS reached, CAST(0 AS BIGINT) AS wrong_distances, CAST(count(*) FILTER (WHERE vec_id % 50 = 0) AS BIGINT) * 10 AS hits FROM embeddings")
 def ivf_pq_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With all lists and the whole table as the shortlist the ranking is exact."""
+    """A shortlist of 128 by codes of 16 bytes: nine in ten of the nearest are found, each with its exact distance."""
     rows = vectors(spark, sf_dir)
-    return _rounded(_ivf(spark, rows, "cosine", pq_m=8, ksub=64).search_reranked(queries_of(rows), rows, 10, shortlist=1 << 30, nprobe=16))
+    hits = _ivf(spark, rows, "cosine", pq_m=16, ksub=64).search_reranked(queries_of(rows), rows, 10, shortlist=128, nprobe=16).persist()
+    asked = queries_of(rows).withColumnRenamed("vector", "q")
+    right = metrics.distance("cosine", F.col("q"), F.col("vector"))
+    wrong = hits.join(asked, "qid").join(rows, "id").agg(F.count_if(F.abs(right - F.col("distance")) > 1e-9).alias("wrong_distances"))
+    return _reached(exact.recall(hits, exact.knn_batch(rows, asked.withColumnRenamed("q", "vector"), 10, "cosine"), 10), 0.9).crossJoin(wrong).crossJoin(hits.agg(F.count(F.lit(1)).alias("hits")))
+
 
+def _clustered(spark: SparkSession, metric: str = "l2", count: int = 4000) -> DataFrame:
+    """A seeded corpus in 64 clusters, on which recall is held to fixed floors."""
+    return from_numpy(spark, *sample(count, 32, metric, 64, 7)).select("id", F.col("vector").cast("array<double>").alias("vector"))
 
-@query()
+
+@query("SELECT true AS codes, true AS reranked")
 def ivf_pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the nearest by codes alone, nine in ten after reranking."""
+    rows = _clustered(spark)
+    index = _ivf(spark, rows, pq_m=8, ksub=128)
+    truth = exact.knn_batch(rows, queries_of(rows), 10).persist()
+    codes = _reached(exact.recall(index.search(queries_of(rows), 10, nprobe=16), truth, 10), 0.5).withColumnRenamed("reached", "codes")
+    return codes.crossJoin(_reached(exact.recall(index.search_reranked(queries_of(rows), rows, 10, shortlist=100, nprobe=16), truth, 10), 0.9).withColumnRenamed("reached", "reranked"))
+
+
+@query("WITH s AS (" + SCALED + ") " + _top(f"SELECT q.id AS qid, c.id, {L2.format(a='q.v', b='c.v')} AS d FROM s q CROSS JOIN s c JOIN embeddings e ON e.vec_id = c.id WHERE q.id % 50 = 0 AND e.label < 5", 10))
+def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    index = _ivf(spark, rows, pq_m=16, ksub=64)
-    truth = exact.knn_batch(rows, queries_of(rows), 10)
-    codes = exact.recall(index.search(queries_of(rows), 10), truth, 10).withColumnRenamed("recall", "codes_recall")
-    return codes.crossJoin(exact.recall(index.search_reranked(queries_of(rows), rows, 10), truth, 10).withColumnRenamed("recall", "reranked_recall"))
+    allowed = read(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
+    return _rounded(_ivf(spark, rows).search(queries_of(rows), 10, nprobe=16, allowed=allowed))
+
+
+@query(f"WITH s AS (SELECT id, CASE WHEN id % 3 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM ({SCALED})) " + _top(f"SELECT q.id AS qid, c.id, {L2.format(a='q.v', b='c.v')} AS d FROM ({SCALED}) q CROSS JOIN s c WHERE q.id % 50 = 0", 10))
+def ivf_moved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third vector is replaced by its opposite, which moves it to another list."""
+    rows = vectors(spark, sf_dir)
+    index = _ivf(spark, rows)
+    index.insert(rows.where("id % 3 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector")))
+    return _rounded(index.search(queries_of(rows), 10, nprobe=16))
+
+
+@query("SELECT count(*) AS listed, true AS nearest_list, true AS found FROM embeddings")
+def ivf_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists hold every row once, each the list of its nearest centroid, and a row is found by its id."""
+    rows = vectors(spark, sf_dir)
+    index = _ivf(spark, rows)
+    placed = index.live().join(_assigned(rows, index.centroids), "id")
+    first = rows.orderBy("id").first()
+    found = index.contains(first.id) and not index.contains(-1) and index.get(first.id) == list(first.vector) and index.list_of(first.id) == index.probe_order(np.array([first.vector]), 1)[0, 0]
+    return placed.agg(F.count(F.lit(1)).alias("listed"), F.every(F.col("list") == F.col("cluster")).alias("nearest_list")).withColumn("found", F.lit(bool(found)))
 
 
 @query(f"WITH s AS ({SCALED} WHERE vec_id % 11 <> 0) " + _top(f"SELECT q.id AS qid, c.id, {L2.format(a='q.v', b='c.v')} AS d FROM ({SCALED}) q CROSS JOIN s c WHERE q.id % 50 = 0", 10))
@@ -335,10 +395,15 @@ def ivf_after_delete_and_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index.search(queries_of(rows), 10, nprobe=16))
 
 
-@query("SELECT count(*) AS live, 0 AS deleted FROM embeddings")
+@query("SELECT count(*) AS live, CAST(count(*) FILTER (WHERE vec_id % 11 = 0) AS BIGINT) AS deleted, 4 * 64 + 8 AS bytes_a_vector, count(*) AS in_lists FROM embeddings")
 def ivf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _ivf(spark, vectors(spark, sf_dir)).stats()
-    return spark.createDataFrame([(s["live"], s["deleted"])], "live long, deleted int")
+    rows = vectors(spark, sf_dir)
+    index = _ivf(spark, rows)
+    before = index.stats()
+    a_vector = (before["memory_bytes"] - 4 * index.centroids.size) // max(before["live"], 1)
+    in_lists = index.list_sizes().agg(F.sum("n")).first()[0]
+    index.delete(rows.where("id % 11 = 0").select("id"))
+    return spark.createDataFrame([(before["live"], index.stats()["deleted"], a_vector, in_lists)], "live long, deleted long, bytes_a_vector int, in_lists long")
 
 
 def _graphs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int, hnsw.HnswConfig]:
@@ -349,11 +414,48 @@ def _graphs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int, hnsw.
     return spark.read.schema(hnsw.HnswGraph.SCHEMA).parquet(path), dim, config
 
 
-@query()
-def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hnsw_recall_value(spark: SparkSession, sf_dir: str) -> float:
     rows = vectors(spark, sf_dir)
     graphs, _, config = _graphs(spark, rows)
-    return exact.recall(hnsw.search(graphs, queries_of(rows), 10, "l2", 64, config), exact.knn_batch(rows, queries_of(rows), 10), 10)
+    return exact.recall(hnsw.search(graphs, queries_of(rows), 10, "l2", 64, config), exact.knn_batch(rows, queries_of(rows), 10), 10).first()[0]
+
+
+@query("SELECT true AS reached")
+def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(hnsw_recall_value(spark, sf_dir) >= 0.95,)], "reached boolean")
+
+
+@query("SELECT metric, CAST(ef AS INTEGER) AS ef, true AS reached FROM (VALUES ('l2'), ('cosine'), ('inner_product')) m(metric), (VALUES (64), (256)) e(ef)")
+def hnsw_recall_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the clustered corpus, one graph: 0.90 at ef 64 and 0.95 at ef 256."""
+    out = []
+    for metric in ("l2", "cosine", "inner_product"):
+        rows = _clustered(spark, metric)
+        graphs, truth = hnsw.build(rows, 32, metric, shards=1).persist(), exact.knn_batch(rows, queries_of(rows), 10, metric).persist()
+        out += [(metric, ef, exact.recall(hnsw.search(graphs, queries_of(rows), 10, metric, ef), truth, 10).first()[0] >= least) for ef, least in ((64, 0.90), (256, 0.95))]
+    return spark.createDataFrame(out, "metric string, ef int, reached boolean")
+
+
+@query("SELECT count(*) AS live, CAST(0 AS BIGINT) AS broken, true AS reached, true AS found FROM embeddings")
+def hnsw_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A persisted graph of every other row, into which the others are inserted."""
+    rows = vectors(spark, sf_dir)
+    graphs, dim, config = _graphs(spark, rows.where("id % 2 = 0"))
+    path = work_dir(spark, "graphs")
+    hnsw.insert(graphs, rows.where("id % 2 = 1"), dim, "l2", config, 8).write.parquet(path)
+    graphs = spark.read.schema(hnsw.HnswGraph.SCHEMA).parquet(path)
+    last = rows.orderBy(F.desc("id")).first()
+    found = hnsw.contains(graphs, last.id) and hnsw.get(graphs, last.id) == list(last.vector) and not hnsw.contains(graphs, -1)
+    reached = _reached(exact.recall(hnsw.search(graphs, queries_of(rows), 10, "l2", 96, config), exact.knn_batch(rows, queries_of(rows), 10), 10), 0.95)
+    return hnsw.stats(graphs).select("live").crossJoin(hnsw.broken_links(graphs).agg(F.count(F.lit(1)).alias("broken"))).crossJoin(reached).withColumn("found", F.lit(bool(found)))
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE vec_id % 11 <> 0) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS broken FROM embeddings")
+def hnsw_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    graphs, dim, config = _graphs(spark, rows)
+    smaller = hnsw.compact(hnsw.delete(graphs, rows.where("id % 11 = 0")), dim, "l2", config, 4).persist()
+    return smaller.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(hnsw.broken_links(smaller).agg(F.count(F.lit(1)).alias("broken")))
 
 
 @query("SELECT count(*) AS live, CAST(count(*) FILTER (WHERE vec_id % 11 = 0) AS BIGINT) AS deleted_later, CAST(0 AS BIGINT) AS broken FROM embeddings")
@@ -365,13 +467,15 @@ def hnsw_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.stats(graphs).select("live").crossJoin(gone).crossJoin(broken)
 
 
-@query()
+@query("SELECT true AS reached, CAST(0 AS BIGINT) AS outside")
 def hnsw_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     graphs, _, config = _graphs(spark, rows)
     allowed = read(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
     truth = exact.knn_batch(rows.join(allowed, "id", "left_semi"), queries_of(rows), 10)
-    return exact.recall(hnsw.search(graphs, queries_of(rows), 10, "l2", 96, config, allowed), truth, 10)
+    hits = hnsw.search(graphs, queries_of(rows), 10, "l2", 96, config, allowed).persist()
+    outside = hits.join(allowed, "id", "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    return _reached(exact.recall(hits, truth, 10), 0.95).crossJoin(outside)
 
 
 # Collections
@@ -421,11 +525,38 @@ def collection_compacted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Collection.open(spark, c.root, c.name).search(_plain_queries(spark, sf_dir), 10))
 
 
-@query()
+@query("SELECT true AS reached")
 def collection_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = changed_collection(spark, sf_dir, graph_shards=4)
     asked = _plain_queries(spark, sf_dir)
-    return exact.recall(c.search(asked, 10, ef=96, strategy="graph"), c.search(asked, 10), 10)
+    return _reached(exact.recall(c.search(asked, 10, ef=96, strategy="graph"), c.search(asked, 10), 10), 0.95)
+
+
+@query(f"WITH s AS ({LIVE}) SELECT id, round(CAST(v[1] AS DOUBLE), 5) AS first FROM s")
+def collection_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened again with nothing sealed but the first segment: all later changes are pending parts."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    times = lambda n: F.transform("vector", lambda x: (x * n).cast("float")).alias("vector")
+    c = Collection.create(spark, work_dir(spark, "collections"), "replayed", rows.select(F.size("vector")).first()[0])
+    c.upsert(rows)
+    c.change(rows.where("id % 7 = 0 and id % 11 <> 0").select("id", times(2)), rows.where("id % 11 = 0").select("id"))
+    c.upsert(rows.where("id % 77 = 0").select("id", times(3)))
+    live = Collection.open(spark, c.root, c.name).live()
+    return live.select("id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
+
+
+@query("SELECT doc_id AS id, CAST(quality AS DOUBLE) AS quality FROM labels WHERE doc_id % 5 <> 0 AND quality IS NOT NULL AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, 2.0 FROM labels WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0")
+def collection_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps set, replaced for every third id, cleared for every fifth, rewritten and read again."""
+    rows = read(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("quality"))
+    c = Collection.create(spark, work_dir(spark, "collections"), "described", 1)
+    value = lambda n: F.map_from_arrays(F.array(F.lit("quality")), F.array(F.struct(F.lit("num").alias("kind"), F.lit(None).cast("boolean").alias("b"), n.cast("double").alias("n"), F.lit(None).cast("string").alias("s"), F.lit(None).alias("items")).cast(filters.VALUE))).alias("metadata")
+    c.set_metadata(rows.where("quality is not null").select("id", value(F.col("quality"))))
+    c.set_metadata(rows.where("id % 3 = 0").select("id", value(F.lit(2.0))))
+    c.clear_metadata(rows.where("id % 5 = 0").select("id"))
+    c.rewrite_metadata()
+    c.verify()
+    return Collection.open(spark, c.root, c.name).metadata().select("id", F.col("metadata")["quality"]["n"].alias("quality"))
 
 
 @query(f"WITH m AS ({DESCRIBED}), s AS (SELECT l.id, CAST(l.v AS DOUBLE[]) AS v, m.quality FROM ({LIVE}) l JOIN m ON m.id = l.id WHERE m.label >= 3 AND NOT coalesce(m.toxic = 1, false)) "
@@ -453,12 +584,91 @@ def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_jsonl(spark, path, 64).select("id", F.size("vector").alias("dim"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
-@query()
+# SplitMix64 in SQL: number i, from 0, of a generator in state s.
+_Z = "({s} + ({i} + 1) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT"
+
+
+def _splitmix(numbers: str, state: str) -> str:
+    """Rows ``(i, u)`` of ``numbers(i)``."""
+    m = "18446744073709551616::UHUGEINT"
+    return f"""SELECT i, xor(z, z // 2147483648::UHUGEINT) AS u FROM (SELECT i, (xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {m} AS z
+        FROM (SELECT i, (xor(z, z // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {m} AS z FROM (SELECT i, {_Z.format(s=state, i="i::UHUGEINT")} AS z FROM {numbers})))"""
+
+
+_STATE = "((({}) + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+_SEED_11, _SEED_5 = _STATE.format("11::UHUGEINT"), _STATE.format("5::UHUGEINT")
+
+
+@query(f"""WITH n AS ({_splitmix("(SELECT unnest(range(8 * 16 + 500 * 17)) AS i)", _SEED_11)}), f AS (SELECT i, u, CAST(u // 2048::UHUGEINT AS DOUBLE) * pow(2, -53) AS f FROM n),
+    centres AS (SELECT i // 16 AS c, i % 16 AS j, CAST(f * 2 - 1 AS FLOAT) AS x FROM f WHERE i < 128),
+    r AS (SELECT (i - 128) // 17 AS id, (i - 128) % 17 AS j, u, f FROM f WHERE i >= 128),
+    x AS (SELECT r.id, r.j - 1 AS j, CAST(c.x + CAST((r.f * 2 - 1) * 0.35::DOUBLE AS FLOAT) AS DOUBLE) AS x FROM r JOIN r o ON o.id = r.id AND o.j = 0 JOIN centres c ON c.c = CAST(o.u % 8::UHUGEINT AS BIGINT) AND c.j = r.j - 1)
+    SELECT id, round(CAST(CAST(max(x) FILTER (WHERE j = 0) / sqrt(sum(x * x)) AS FLOAT) AS DOUBLE), 5) AS first FROM x GROUP BY id""")
 def sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = from_numpy(spark, *sample(500, 16, "cosine", 8, 11))
     return rows.select("id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
+@query(f"WITH n AS ({_splitmix('(SELECT unnest(range(100)) AS i)', _SEED_5)}) SELECT i AS place, CAST(u AS VARCHAR) AS whole, CAST(u // 2048::UHUGEINT AS DOUBLE) * pow(2, -53) AS fraction, CAST(u % 10::UHUGEINT AS BIGINT) AS below_ten FROM n")
+def seeded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, fraction, below = (SplitMix64(5) for _ in range(3))
+    return spark.createDataFrame([(i, str(whole.next_u64()), fraction.next_f64(), below.below(10)) for i in range(100)], "place long, whole string, fraction double, below_ten long")
+
+
+@query(f"""WITH RECURSIVE n AS ({_splitmix('(SELECT unnest(range(29)) AS i)', _SEED_5)}), turns AS (SELECT 29 - i AS last, CAST(u % CAST(30 - i AS UHUGEINT) AS BIGINT) AS other FROM n),
+    s AS (SELECT CAST(30 AS BIGINT) AS last, range(30) AS items UNION ALL
+        SELECT t.last, list_transform(range(30), lambda j: CASE WHEN j = t.last THEN s.items[t.other + 1] WHEN j = t.other THEN s.items[t.last + 1] ELSE s.items[j + 1] END) FROM s JOIN turns t ON t.last = s.last - 1)
+    SELECT unnest(range(30)) AS place, unnest(items) AS item FROM s WHERE last = 1""")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = list(range(30))
+    SplitMix64(5).shuffle(items)
+    return spark.createDataFrame(list(enumerate(items)), "place long, item long")
+
+
+@query("SELECT * FROM (VALUES ('l2', 'l2'), ('Euclidean', 'l2'), ('cosine', 'cosine'), (' COS ', 'cosine'), ('ip', 'inner_product'), ('inner_product', 'inner_product'), ('hamming', 'none')) t(name, metric)")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parsed(name: str) -> str:
+        try:
+            return str(metrics.Metric.parse(name))
+        except InvalidParameter:
+            return "none"
+
+    return spark.createDataFrame([(n, parsed(n)) for n in ("l2", "Euclidean", "cosine", " COS ", "ip", "inner_product", "hamming")], "name string, metric string")
+
+
+@query("SELECT vec_id AS qid, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[2] AS DOUBLE), 5) AS second FROM embeddings")
+def jsonl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "jsonl")
+    read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).write.json(path)
+    return read_queries(spark, path, 64).select("qid", F.size("vector").alias("dim"), F.round(F.element_at("vector", 2).cast("double"), 5).alias("second"))
+
+
+@query("SELECT * FROM (VALUES ('1, 2.5', 2, 3.5::DOUBLE), ('[0.25,-1e2,3]', 3, -96.75::DOUBLE), ('x', 0, NULL), ('', 0, NULL)) t(text, n, total)")
+def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parsed(text: str) -> list[float]:
+        try:
+            return parse_vector(text)
+        except InvalidParameter:
+            return []
+
+    return spark.createDataFrame([(t, len(v := parsed(t)), sum(v) if v else None) for t in ("1, 2.5", "[0.25,-1e2,3]", "x", "")], "text string, n int, total double")
+
+
+@query("SELECT true AS reached, true AS removed, count(*) - 1 AS left_over FROM embeddings")
+def index_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's index class over the embeddings, which are few at every test size."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(np.float64)
+    index = Index(x.shape[1], m=12, ef_construction=60)
+    index.add_batch(x, rows.vec_id.to_numpy())
+    asked = x[::50]
+    truth = [set(rows.vec_id.to_numpy()[np.argsort(((x - q) ** 2).sum(1), kind="stable")[:10]].tolist()) for q in asked]
+    shared = sum(len(t & {i for i, _ in index.search(q, 10, 96)}) for q, t in zip(asked, truth, strict=True))
+    first = int(rows.vec_id[0])
+    removed = index.remove(first) and not index.remove(first) and first not in {i for i, _ in index.search(x[0], 10)}
+    return spark.createDataFrame([(shared >= 0.95 * sum(map(len, truth)), removed, index.compact().node_count)], "reached boolean, removed boolean, left_over long")
+
+
 @query("SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * 2, 5) AS first FROM embeddings WHERE vec_id % 3 <> 0")
 def stream_into_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream of changes: each id is upserted twice, and every third then deleted."""
