@@ -24,14 +24,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents and a number for each row, written once, so that a number names the same row in every read."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), name)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links of similarity 0.8 or more, the one with the least id.
+    """Of rows connected by links of similarity 0.8 or more, or with the same words, one: that of the least id, null last.
 
-    Documents without words are no copies of each other; rows with a null id stay;
-    rows with one id stay or go together.
+    Rows without words are no copies of each other.  Every row counts by itself,
+    also where ids are null or repeated.
     """
-    copies = ngram_join.join(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs, "near-rows")
+    classes = ngram_join.join(rows, id_col="row").select(F.col("doc_id").alias("row"), "class_id")
+    keyed = materialize(rows.select("row", "doc_id").join(classes, "row"), "near-classes")
+    kept = keyed.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    copies = keyed.select("row").join(kept, "row", "left_anti")
+    return rows.join(copies, "row", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are numbered and written once, so that a number names the same row in
     both reads; only rows alike in all columns are told apart by it.
     """
-    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows, "mix-rows")
-    mixed = mixing.mix(rows.withColumn("key", F.struct("doc_id", "mark")), id_col="key", keep=["row"])
+    rows = numbered(docs, "mix-rows")
+    mixed = mixing.mix(rows.withColumn("key", F.struct("doc_id", F.xxhash64(*COLUMNS).alias("mark"))), id_col="key", keep=["row"])
     taken = rows.join(mixed.where("copies > 0").select("row", F.col("copies").cast("int").alias("copies")), "row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
