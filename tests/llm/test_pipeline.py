@@ -104,3 +104,15 @@ def test_mixing_takes_each_row_by_itself(spark):
         words = sum(len(r.text.split()) for r in mixed[0] if r.source == source)
         assert abs(words - target) <= 5
     assert sorted(map(str, mixed[0])) == sorted(map(str, mixed[1]))
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    base = rng.choices([f"w{i}" for i in range(500)], k=80)
+    near = " ".join([*base[:-1], "end"])
+    text = " ".join(base)
+    rows = [(None, text), (7, near), (7, text), (7, text), (9, "something else altogether, and short"), (9, "another text of the same id"), (None, None), (None, ""), (3, " ")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_copies(spark, table.repartition(3), "").collect()
+    assert sum(r.doc_id == 7 and r.text in (near, text) for r in got) == 1 and len(got) == 6
+    assert sorted(str(r.doc_id) for r in got) == ["3", "7", "9", "9", "None", "None"]
