@@ -36,6 +36,47 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS words FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM w)
+), hits AS (
+    SELECT doc_id, i FROM windows JOIN (SELECT words, min(doc_id) AS first FROM windows GROUP BY words) USING (words) WHERE doc_id > first
+), gone AS (
+    SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, i + unnest(range(13)) AS place FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i - 1)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+# Classes of equal words, then all pairs of them that share a shingle.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), classes AS (
+    SELECT w, min(doc_id) AS copy_of, count(*) AS n_copies FROM w WHERE len(w) > 0 GROUP BY w
+), sets AS (
+    SELECT copy_of, n_copies, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM classes
+), shingles AS (
+    SELECT copy_of, n_copies, len(s) AS size, unnest(s) AS shingle FROM sets
+), pairs AS (
+    SELECT a.copy_of AS a, b.copy_of AS b, any_value(b.n_copies) AS copies, count(*) AS shared, any_value(a.size) + any_value(b.size) AS sizes
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.copy_of <> b.copy_of GROUP BY ALL
+), links AS (
+    SELECT a, b, copies FROM pairs WHERE 10 * shared >= 8 * (sizes - shared)
+), reach AS (
+    SELECT copy_of AS a, copy_of AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), found AS (
+    SELECT copy_of, class_id, coalesce(n_links, 0) AS n_links FROM (SELECT a AS copy_of, min(b) AS class_id FROM reach GROUP BY a)
+    LEFT JOIN (SELECT a AS copy_of, sum(copies) AS n_links FROM links GROUP BY a) USING (copy_of)
+)
+SELECT doc_id, coalesce(c.copy_of, doc_id) AS copy_of, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM w LEFT JOIN classes c ON c.w = w.w LEFT JOIN found f ON f.copy_of = c.copy_of
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -169,4 +210,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_voronoi": OP6_SQL, "op9_warc": OP9_SQL, "op10_url_lists": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_substring": OP3_SQL, "op6_voronoi": OP6_SQL, "op9_warc": OP9_SQL, "op10_url_lists": OP10_SQL}
