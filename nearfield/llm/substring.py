@@ -436,12 +436,14 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("row text"),
         *[F.col(f"`{c}`") for c in keep],
     )
+    # as many partitions as chunks, so that a task has one or a few whatever the size of the table
+    spread = spread.repartition(chunks, "chunk")
     sent = "part int, chunk int, data binary"
     # the exchanges below deal by the same key and hold the same columns, so one shuffle serves all three
     seeds = spread.groupBy("chunk").applyInArrow(lambda t: _send_seeds(t, parts, length, seed, frequent), sent)
-    shared = seeds.groupBy("part").applyInArrow(lambda t: _shared_seeds(t, frequent, length, seed), "to_chunk int, data binary")
+    shared = seeds.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _shared_seeds(t, frequent, length, seed), "to_chunk int, data binary")
     suffixes = spread.groupBy("chunk").cogroup(shared.groupBy("to_chunk")).applyInArrow(lambda t, b: _send_suffixes(t, b, parts, length, seed), sent)
-    hits = suffixes.groupBy("part").applyInArrow(lambda t: _subtree(t, length), "to_chunk int, data binary")
+    hits = suffixes.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _subtree(t, length), "to_chunk int, data binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema if f.name in keep)
 
     def cut(t: pa.Table, b: pa.Table) -> pa.Table:
