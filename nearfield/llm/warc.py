@@ -148,18 +148,19 @@ def _ranges(pages: DataFrame, shard_bytes: int) -> tuple[int, list[list[tuple]]]
     return first_width, [[tuple(r) for r in level] for level in levels]
 
 
-def _dealt(base: DataFrame, shard_bytes: int) -> DataFrame:
-    """Rows with their shard, how often each is written, and the number of the first record of its id in the shard.
+def _dealt(base: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Rows with their shard, how often each is written, and the number of the first record of its id in the shard; and the number of shards.
 
     Rows of an id with several shards go there by a hash of URL and payload; slices
     of rows that are equal in all go to one shard after the other.
     """
     first_width, levels = _ranges(base.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes")), shard_bytes)
+    shards = max((r[4] + r[5] for level in levels for r in level if r[4] is not None), default=1)
     placed = _located(base, first_width, levels)
     columns = ["shard", "page_id", "url", "html"]
     rows = placed.select(*columns, F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("before"))
     if all(r[5] is None or r[5] == 1 for level in levels for r in level):
-        return rows
+        return rows, shards
     rows = placed.where("parts = 1").select(*rows.columns[:4], F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("before"))
     alike = placed.where("parts > 1").groupBy(*columns, "parts").agg(F.count(F.lit(1)).alias("n"))
     alike = alike.withColumn("most", F.greatest(F.lit(1), F.floor(shard_bytes / 8 / (F.octet_length("html") + 512))).cast("long"))
@@ -174,7 +175,7 @@ def _dealt(base: DataFrame, shard_bytes: int) -> DataFrame:
         before.append((r.shard, total))
         last, total = r.of_shard, total + r.n
     before = F.broadcast(base.sparkSession.createDataFrame(before, "shard int, before long"))
-    return rows.unionByName(alike.drop("of_shard").join(before, "shard"))
+    return rows.unionByName(alike.drop("of_shard").join(before, "shard")), shards
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 1000, shard_bytes: int = 24 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -194,7 +195,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("html"))
     light = base.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    rows = _dealt(base, shard_bytes)
+    rows, shards = _dealt(base, shard_bytes)
     there = rows.select("shard", "page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     equal = light.where(F.col("payload_bytes") >= least_revisit).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
     revisits = there.join(equal, ["digest", "payload_bytes"]).where("page_id is null or page_id < refers_to")
@@ -246,7 +247,8 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         finish()
         return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema)
 
-    written = rows.groupBy("shard").cogroup(revisits.groupBy("revisit_shard")).applyInArrow(shard, "file string, records long, bytes long, sha256 string")
+    # as many partitions as shards, so that a task has one or a few whatever the size of the table
+    written = rows.repartition(shards, "shard").groupBy("shard").cogroup(revisits.groupBy("revisit_shard")).applyInArrow(shard, "file string, records long, bytes long, sha256 string")
     written.write.json(f"{folder}/_{MANIFEST}.writing")
     _rename(spark, f"{folder}/_{MANIFEST}.writing", f"{folder}/_{MANIFEST}")
     _sweep(spark, folder)
