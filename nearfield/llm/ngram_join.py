@@ -5,13 +5,14 @@ functions.  The tries are one table of ``(tree, path, document)`` rows sorted by
 tree and path, where a path is the document's whole signature in that tree, so a
 trie's node is a run of rows with a common prefix.
 
-Matching begins with whole signatures and goes up all trees at once: at each
-level prefixes lose one value, the runs of documents that have newly come together
+Matching begins with whole signatures and goes up all trees at once: prefixes are
+shortened, the runs of documents that have newly come together
 are verified, and pairs that met further down are left alone.  Two texts of
 Jaccard similarity s share a prefix of d values in one of t trees with probability
 1 - (1 - s^d)^t.  The similarities of the links verified so far tell how low
-similarities go in this table; prefixes are shortened until a link ``margin`` below the lowest
-one seen (not below the threshold) is met with the target recall.  Where
+similarities go in this table; prefixes are shortened, at once as far as
+needed, until a link ``margin`` below the lowest one seen (not below the threshold)
+is met with the target recall.  Where
 everything is far above the threshold long prefixes do; a link near it shortens
 them to the depth that serves the threshold itself, and no further.
 
@@ -148,7 +149,7 @@ def _prefixes(sigs: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def _verify(shingle: int, threshold: float, trees: int, full: int, level: int) -> Callable:
+def _verify(shingle: int, threshold: float, trees: int, full: int, level: int, before: int | None) -> Callable:
     """One pair of blocks: for each member its links to other classes, their documents, their least similarity, and edges of a spanning forest."""
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("linked_rows", pa.int64()), ("least", pa.float64()), ("edge", pa.int64())])
 
@@ -164,8 +165,8 @@ def _verify(shingle: int, threshold: float, trees: int, full: int, level: int) -
         here = _prefixes(sigs, level)
         for t in range(tree):  # met in an earlier tree
             new &= here[left, t][:, None] != here[right, t][None, :]
-        if level < full:
-            below = _prefixes(sigs, level + 1)
+        if before is not None:
+            below = _prefixes(sigs, before)
             for t in range(trees):  # met by a longer prefix
                 new &= below[left, t][:, None] != below[right, t][None, :]
         if both:
@@ -216,13 +217,13 @@ def _one_row_an_id(raw: DataFrame) -> DataFrame:
     return raw.join(repeated, "id", "left_anti").unionByName(picked)
 
 
-def _level(tries: DataFrame, texts: DataFrame, level: int, full: int, block: int, block_bytes: int, verify: Callable) -> DataFrame:
-    """Links between documents whose longest common prefix in any tree has ``level`` values."""
+def _level(tries: DataFrame, texts: DataFrame, level: int, before: int | None, block: int, block_bytes: int, verify: Callable) -> DataFrame:
+    """Links between documents that share ``level`` values in a tree and nowhere the ``before`` that were matched last."""
     at = tries.withColumn("prefix", F.expr(f"substring(path, 1, {4 * level})"))
-    child = F.xxhash64(F.expr(f"substring(path, {4 * level + 1}, 4)"))
+    child = F.xxhash64(F.expr(f"substring(path, {4 * level + 1}, {4 * ((before or level) - level)})"))
     who = [F.bit_xor(F.xxhash64("id", F.lit(i))) for i in (0, 1)]
     nodes = at.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("node_bytes"), who[0].alias("who"), who[1].alias("also"), F.min(child).alias("low"), F.max(child).alias("high")).where("n > 1")
-    if level < full:  # a node with one child brings nobody together
+    if before is not None:  # a node with one child brings nobody together
         nodes = nodes.where("low <> high")
     # nodes with the same members in several trees are looked at once
     nodes = nodes.groupBy("n", "node_bytes", "who", "also").agg(F.min(F.struct("tree", "prefix")).alias("at")).select("n", "node_bytes", "at.tree", "at.prefix")
@@ -268,13 +269,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     texts = materialize(texts, "forest-texts")  # once for all levels
     levels: list[DataFrame] = []
     lowest = 1.0
-    for level in range(full_depth, floor - 1, -1):
-        levels.append(_level(tries, texts, level, full_depth, block, block_bytes, _verify(shingle, threshold, trees, full_depth, level)))
+    level, before = max(full_depth, floor), None
+    while True:
+        levels.append(_level(tries, texts, level, before, block, block_bytes, _verify(shingle, threshold, trees, full_depth, level, before)))
         seen = levels[-1].where("edge is null").agg(F.min("least")).first()[0]
         lowest = lowest if seen is None else min(lowest, seen)
         expected = max(threshold, lowest - margin) if lowest < 1 else threshold
-        if 1 - (1 - expected**level) ** trees >= recall:
+        needed = matched_depth(expected, trees, level, recall)
+        if needed == level:
             break
+        level, before = needed, level
     found = levels[0]
     for more in levels[1:]:
         found = found.unionByName(more)

@@ -182,12 +182,12 @@ def test_recall_of_pairs_just_above_the_threshold(spark):
     assert sum(got) >= 0.99 * len(got)
 
 
-@pytest.mark.parametrize(("changed", "levels"), [(1, [6]), (5, [6, 5, 4])])
+@pytest.mark.parametrize(("changed", "levels"), [(1, [(6, None)]), (3, [(6, None), (5, 6)]), (5, [(6, None), (4, 6)])])
 def test_prefixes_shorten_as_far_as_links_need(spark, monkeypatch, changed, levels):
     rng = random.Random(7)
     seen = []
     verify = ngram_join._verify
-    monkeypatch.setattr(ngram_join, "_verify", lambda *a: seen.append(a[-1]) or verify(*a))
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: seen.append(a[-2:]) or verify(*a))
     assert all(links_of(spark, [pair_of(rng, 50, changed) for _ in range(30)]))
     assert seen == levels
 
