@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.subwords import WordTable, batches, labelled_sample, order_features, score_batches, sparse_documents, to_score, word_features
+from nearfield.llm.textops import give_back
 
 GRAMS = (2, 3, 4)
 
@@ -77,7 +78,9 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, width:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn=None, most_rows: int = 1000, most_bytes: int = 50_000) -> SubwordModel:
     """Train on at most ``most_rows`` labelled rows of each label (texts up to ``most_bytes``) that ``learn`` allows."""
     rows = labelled_sample(docs, labels, F.lit(True) if learn is None else learn, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows, most_bytes=most_bytes)
-    return train([t for _, t, _ in rows], [y for _, _, y in rows])
+    model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+    give_back()  # what training took; the driver goes on
+    return model
 
 
 def score(docs: DataFrame, model: SubwordModel, *, keep: list[str], text_col: str = "text") -> DataFrame:
