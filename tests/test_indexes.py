@@ -123,3 +123,49 @@ def test_sharded_graphs(spark, corpus):
     graph.insert_batch(range(400), x)
     again = HnswGraph.from_arrow(graph.to_arrow(0), graph.metric, config)
     assert again.search(x[3], 5) == graph.search(x[3], 5)
+
+
+def test_persisted_graphs_take_more_vectors(spark, corpus):
+    x, rows, asked = corpus
+    config = HnswConfig(m=8, m0=16, ef_construction=50)
+    graphs = hnsw.build(rows.where("id < 300"), 16, "l2", config, 3).cache()
+    changed = rows.where("id >= 300").unionByName(rows.where("id = 5").selectExpr("id", "transform(vector, x -> x + 100) as vector"))
+    more = hnsw.insert(graphs, changed, 16, "l2", config, 3).cache()
+    assert hnsw.broken_links(more).count() == 0 and hnsw.stats(more).first().live == 400
+    assert hnsw.contains(more, 399) and not hnsw.contains(graphs, 399) and hnsw.get(more, 5)[0] == pytest.approx(x[5][0] + 100)
+    truth = exact.knn_batch(rows.where("id <> 5").unionByName(changed.where("id = 5")), asked, 10)
+    assert exact.recall(hnsw.search(more, asked, 10, "l2", 64, config), truth, 10).first()[0] >= 0.95
+    few = hnsw.search(more, asked, 10, "l2", 64, config)
+    assert sorted(map(tuple, hnsw.search(more, asked, 10, "l2", 64, config, small=3).collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_damaged_graphs_are_refused():
+    import pyarrow as pa
+
+    from nearfield.errors import Corrupted
+
+    graph = HnswGraph(4, "l2", HnswConfig(m=4, m0=8, ef_construction=20))
+    graph.insert_batch(range(60), np.random.default_rng(1).normal(size=(60, 4)))
+    table = graph.to_arrow(0)
+    assert HnswGraph.from_arrow(table, graph.metric, graph.config).stats() == graph.stats()
+    links = table.column("links").to_pylist()
+
+    def damaged(column, values):
+        at = table.column_names.index(column)
+        return table.set_column(at, column, pa.array(values, table.schema.field(column).type))
+
+    far = [[[99]], *links[1:]]
+    own = [[[0]], *links[1:]]
+    for bad in (damaged("links", far), damaged("links", own), damaged("id", [1] * 60), damaged("node", [0, *range(59)]), damaged("vector", [[1.0]] + table.column("vector").to_pylist()[1:]), damaged("links", [[list(range(1, 30))], *links[1:]]), damaged("links", [[[-3]], *links[1:]])):
+        with pytest.raises(Corrupted):
+            HnswGraph.from_arrow(bad, graph.metric, graph.config)
+
+
+def test_inverted_files_take_any_number_of_queries(spark, corpus, tmp_path, monkeypatch):
+    from nearfield.operators import ivf
+
+    x, rows, asked = corpus
+    index = ivf.IvfIndex.train(rows, f"file://{tmp_path}/ivf", "l2", ivf.IvfConfig(nlist=4, list_iterations=4))
+    want = sorted(map(tuple, index.search(asked, 5, nprobe=2).collect()))
+    monkeypatch.setattr(ivf, "TOGETHER", max(2, asked.count() // 2))
+    assert sorted(map(tuple, index.search(asked, 5, nprobe=2).collect())) == want
