@@ -146,3 +146,78 @@ def test_pairs_of_terms_count_beyond_their_sum():
 
     scores = model.link(*WordTable(model.factors.shape[1] + 2, model.of_words, distinct=True).sums(*buffers(pa.array(texts[450:]))))
     assert np.mean((scores >= 0.5) == np.array(y[450:])) >= 0.9
+
+
+def plain_words(text, lower, distinct):
+    words = text.encode().split()
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words] if lower else words
+    return list(dict.fromkeys(words)) if distinct else words
+
+
+def buckets_of(word, grams, buckets):
+    import numpy as np
+
+    from nearfield.llm.subwords import word_features
+
+    flat, _ = word_features(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), grams, buckets)
+    return flat.tolist()
+
+
+TEXTS = ["an idiot and a clown, an IDIOT", "", "one", "été été word Word", "w1 w2 w3 w4 w1 w2 w3 w4 w4", "\t long-word-with-many-grams \n x"]
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark):
+    import math
+
+    docs, labels = labelled(4, 200)
+    model = toxicity.train([t for _, t in docs], [y for _, _, y in labels], buckets=1 << 12, epochs=3)
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    for i, text in enumerate(TEXTS):
+        terms = []
+        words = plain_words(text, True, True)
+        for w in words:
+            own = buckets_of(w, model.grams, len(model.linear))
+            terms += [(b, 1 / len(own) / math.sqrt(len(words))) for b in own]
+        logit = model.bias + sum(float(model.linear[b]) * x for b, x in terms)
+        for a in range(len(terms)):
+            for b in range(a):
+                logit += sum(float(p) * float(q) for p, q in zip(model.factors[terms[a][0]], model.factors[terms[b][0]])) * terms[a][1] * terms[b][1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    import math
+
+    docs, labels = labelled(4, 200)
+    model = quality.train([t for _, t in docs], [q for _, q, _ in labels], buckets=1 << 12, epochs=3)
+    n = len(model.weights)
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    import numpy as np
+
+    from nearfield.llm.textops import gram_hashes, span_hashes
+
+    for i, text in enumerate(TEXTS):
+        words = plain_words(text, False, False)
+        total = 0.0
+        for w in words:
+            own = buckets_of(w, model.grams, n)
+            total += sum(float(model.weights[b]) for b in own) / len(own)
+        keys = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+        seen = set()
+        for a in range(len(words)):
+            if a:
+                total += float(model.weights[int(gram_hashes(np.array(keys[a - 1 : a + 1], np.uint64), 2, 5)[0]) % n])
+                total += float(model.weights[n - 1]) if words[a] == words[a - 1] else 0.0
+            four = tuple(words[a : a + 4])
+            if len(four) == 4:
+                total += float(model.weights[n - 2]) if four in seen else 0.0
+                seen.add(four)
+        logit = total / max(len(words), 1) + model.bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)
+
+
+def test_a_repeated_id_brings_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (3, "x" * 100), (4, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, F.lit(True), id_col="doc_id", text_col="text", label_col="toxic", most_rows=2, most_bytes=50)
+    assert sorted(i for i, _, _ in rows) == [1, 4]
