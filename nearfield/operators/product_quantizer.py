@@ -126,17 +126,25 @@ class ProductQuantizer:
         return self.distance_from_table(self.distance_table(query), codes)
 
 
-def distances_by_join(codes: DataFrame, queries: DataFrame, books: DataFrame) -> DataFrame:
+def distances_by_join(codes: DataFrame, queries: DataFrame, books: DataFrame, most_sent: int = 4096, block: int = 1024) -> DataFrame:
     """``(qid, id, distance)`` of each query and coded row, from given codebooks, with columns only.
 
-    The look-up table has a row for each query, with 256 numbers a part at most;
-    it is meant for query sets that may be sent to all tasks.
+    The look-up table has a row for each query, with 256 numbers a part at most.
+    That of up to ``most_sent`` queries is sent to all tasks; a larger one is
+    dealt into blocks of queries that meet blocks of codes.
     """
     m = F.broadcast(books.groupBy().agg((F.max("part") + 1).alias("m")))
     cut = queries.crossJoin(m).select("qid", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda s: F.slice("vector", (s * (F.size("vector") / F.col("m"))).cast("int") + 1, (F.size("vector") / F.col("m")).cast("int")))).alias("part", "piece"))
     square = F.aggregate(F.zip_with(F.col("piece").cast("array<double>"), F.col("vector"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     entries = cut.join(F.broadcast(books), "part").select("qid", "part", "centroid", square.alias("d"))
     tables = entries.groupBy("qid", "part").agg(F.sort_array(F.collect_list(F.struct("centroid", "d"))).alias("row")).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "row"))), lambda p: F.transform(p["row"], lambda e: e["d"])).alias("parts"))
-    pairs = codes.crossJoin(F.broadcast(tables))
+    if queries.limit(most_sent + 1).count() <= most_sent:
+        pairs = codes.crossJoin(F.broadcast(tables))
+    else:
+        q_parts, parts = -(-queries.count() // block), max(1, -(-codes.count() // (64 * block)))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = codes.select("*", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("of_codes"), every(q_parts).alias("of_queries"))
+        right = tables.select("*", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("of_queries"), every(parts).alias("of_codes"))
+        pairs = left.join(right, ["of_codes", "of_queries"])
     looked = F.zip_with("codes", "parts", lambda c, row: F.element_at(row, c.cast("int") + 1))
     return pairs.select("qid", "id", F.aggregate(looked, F.lit(0.0), lambda s, x: s + x).alias("distance"))

@@ -169,3 +169,11 @@ def test_inverted_files_take_any_number_of_queries(spark, corpus, tmp_path, monk
     want = sorted(map(tuple, index.search(asked, 5, nprobe=2).collect()))
     monkeypatch.setattr(ivf, "TOGETHER", max(2, asked.count() // 2))
     assert sorted(map(tuple, index.search(asked, 5, nprobe=2).collect())) == want
+
+
+def test_asymmetric_distances_in_blocks(spark, corpus):
+    x, rows, asked = corpus
+    quantizer = ProductQuantizer.train(rows, 4, 16, 4)
+    codes, books = quantizer.encode(rows), quantizer.to_table(spark)
+    one, two = (sorted(map(tuple, distances_by_join(codes, asked, books, **o).collect())) for o in ({}, {"most_sent": 2, "block": 3}))
+    assert one == two and len(one) == 400 * asked.count()
