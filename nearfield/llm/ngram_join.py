@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.components import components
 from nearfield.llm.storage import materialize
-from nearfield.llm.textops import U64, mix, odd_constants, shingle_sets, slices, span_hashes, word_spans
+from nearfield.llm.textops import U64, give_back, mix, odd_constants, shingle_sets, slices, span_hashes, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
 
@@ -77,6 +77,7 @@ def _sign(trees: int, depth: int, shingle: int) -> Callable:
                     for i, row in zip(some.tolist(), _signatures([sets[i] for i in some], trees, depth), strict=True):
                         sigs[i] = row.tobytes()
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *map(pa.array, whole), pa.array(np.diff(off)), pa.array(sigs, pa.binary())], schema=schema)
+            give_back()
 
     return run
 
@@ -192,6 +193,8 @@ def _verify(shingle: int, threshold: float, trees: int, full: int, level: int, b
         np.minimum.at(least, x, value)
         np.minimum.at(least, y, value)
         kept = _spanning(x, y)
+        del similar, link, new, sets, of_left
+        give_back()
         some = np.flatnonzero(links)
         none = np.zeros(len(kept), np.int64)
         return pa.table(
