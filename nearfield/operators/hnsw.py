@@ -93,6 +93,7 @@ class HnswGraph:
         self.node_of: dict[int, int] = {}
         self.entry: int | None = None
         self.rng = SplitMix64(self.config.seed)
+        self.connected = True  # whether connect has seen the last vectors
 
     def __len__(self) -> int:
         return sum(self.live)
@@ -128,6 +129,7 @@ class HnswGraph:
         x = self._prepare(vectors)
         if x.ndim != 2 or len(x) != len(ids):
             raise InvalidParameter("need an (n, dim) array and n ids")
+        self.connected = False
         start, rows = self.node_count, []
         for row, id in enumerate(map(int, ids)):
             node = self.node_of.setdefault(id, start + len(rows))
@@ -213,6 +215,70 @@ class HnswGraph:
             order = np.lexsort((near, d), axis=1)
             self.near[level][node[part]] = _select(self.metric, self.vectors, np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1), most)
 
+    def connect(self) -> None:
+        """See that every node has links towards it, and can be walked to, on the lowest level.
+
+        Pruning drops links to nodes far from all others (long vectors among short
+        ones), which a search then meets late or never.  Nodes with less than ``m0`` get
+        links from the nearest nodes that have room, those that can't be reached from the nearest that can be.
+        """
+        if self.connected or self.entry is None:
+            return
+        n, links = self.node_count, self.near[0]
+        need = min(self.config.m0, n - 1)
+        for _ in range(16):
+            got = np.bincount(links[:n][links[:n] >= 0], minlength=n)
+            few = np.flatnonzero(got < need)
+            if not len(few) or not len(self._link_from(np.flatnonzero((links[:n] < 0).any(1)), few, need - got[few])):
+                break
+        reached, fresh = np.zeros(n, bool), np.array([self.entry])
+        for _ in range(n):
+            while len(fresh):
+                reached[fresh] = True
+                fresh = np.unique(links[fresh])
+                fresh = fresh[fresh >= 0]
+                fresh = fresh[~reached[fresh]]
+            if not len(lost := np.flatnonzero(~reached)):
+                break
+            hosts = np.flatnonzero(reached & (links[:n] < 0).any(1))
+            if len(hosts):
+                fresh = self._link_from(hosts, lost, np.ones(len(lost), np.int64))
+            else:  # all are full: a last link makes way
+                links[self._nearest(np.flatnonzero(reached), lost[:1], 1)[0, 0], -1] = lost[0]
+                reached, fresh = np.zeros(n, bool), np.array([self.entry])
+        self.connected = True
+
+    def _nearest(self, hosts: np.ndarray, nodes: np.ndarray, count: int) -> np.ndarray:
+        """For each of ``nodes`` up to ``count`` of the nearest other hosts, nearest first; -1 fills up."""
+        count = min(count, len(hosts))
+        out, step = [], max(1, ENTRIES // len(hosts))
+        for i in range(0, len(nodes), step):
+            some = nodes[i : i + step]
+            d = self._rough(self.vectors[some], self.vectors[hosts])
+            d[some[:, None] == hosts[None, :]] = np.inf
+            at = np.argpartition(d, count - 1, axis=1)[:, :count]
+            d = np.take_along_axis(d, at, 1)
+            order = np.lexsort((at, d), axis=1)
+            out.append(np.where(np.isinf(np.take_along_axis(d, order, 1)), -1, hosts[np.take_along_axis(at, order, 1)]))
+        return np.concatenate(out)
+
+    def _link_from(self, hosts: np.ndarray, nodes: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Link ``nodes`` from up to ``count`` of the nearest hosts each, as far as these have room; the nodes that got a link."""
+        links, n = self.near[0], self.node_count
+        if not len(hosts):
+            return hosts
+        at = self._nearest(hosts, nodes, int(count.max()) + 4)
+        fits = (at >= 0) & ~(links[np.maximum(at, 0)] == nodes[:, None, None]).any(2)
+        fits &= np.cumsum(fits, axis=1) <= count[:, None]
+        row, place = np.nonzero(fits)
+        order = np.lexsort((nodes[row], place, at[row, place]))  # a host takes those first to whom it is nearest
+        host, node = at[row, place][order], nodes[row][order]
+        rank = np.arange(len(host)) - np.searchsorted(host, host)
+        have = (links[host] >= 0).sum(1)
+        fits = have + rank < links.shape[1]
+        links[host[fits], (have + rank)[fits]] = node[fits]
+        return np.unique(node[fits])
+
     def _distances(self, q: np.ndarray, nodes) -> np.ndarray:
         return distances_batch(self.metric, q, self.vectors[nodes])
 
@@ -262,6 +328,7 @@ class HnswGraph:
         q = self._prepare(vector)
         if k <= 0 or self.entry is None:
             return []
+        self.connect()
         at = self.entry_descent(q)
         ok = np.array(self.live)
         if passes is not None:
@@ -319,6 +386,7 @@ class HnswGraph:
     SCHEMA = "shard int, node int, id long, live boolean, vector array<double>, links array<array<int>>"
 
     def to_arrow(self, shard: int) -> pa.Table:
+        self.connect()
         n = self.node_count
         lists = self.levels[:n].astype(np.int64) + 1
         outer = np.concatenate([[0], np.cumsum(lists)])

@@ -106,6 +106,21 @@ def test_graph_in_memory():
         HnswConfig(m=64, m0=32)
 
 
+def test_every_node_of_a_graph_is_met():
+    """Long vectors among short ones: pruning drops the links towards them, which a search must still find."""
+    x = np.random.default_rng(5).normal(size=(1200, 32))
+    x *= (1 + np.arange(1200) % 10)[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    graph = HnswGraph(32, "l2", HnswConfig(m=12, m0=24, ef_construction=60))
+    graph.insert_batch(range(0, 1200, 2), x[::2])
+    graph = HnswGraph.from_arrow(graph.to_arrow(0), graph.metric, graph.config)
+    graph.insert_batch(range(1, 1200, 2), x[1::2])
+    asked = range(0, 1200, 12)
+    assert all(graph.search(x[i], 1, 96)[0][0] == i for i in asked)
+    hits = sum(len({i for i, _ in graph.search(x[q], 10, 96)} & set(np.argsort(((x - x[q]) ** 2).sum(1))[:10].tolist())) for q in asked)
+    assert hits >= 0.95 * 10 * len(asked)
+    graph.verify()
+
+
 def test_sharded_graphs(spark, corpus):
     x, rows, asked = corpus
     config = HnswConfig(m=8, m0=16, ef_construction=50)
