@@ -97,13 +97,18 @@ def _nearest(metric: Metric, qids: np.ndarray, queries: np.ndarray, ids: np.ndar
 
 
 def _scan(metric: Metric, qids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
+    return best_of_batches(lambda ids, v: _nearest(metric, qids, queries, ids, prepare_array(metric, _matrix(v, queries.shape[1])), k), k)
+
+
+def best_of_batches(near: Callable, k: int) -> Callable:
+    """For ``mapInArrow``: of the hits that ``near(ids, *other columns)`` finds in each batch, the ``k`` best of each query in all of a task's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = prepare_array(metric, _matrix(batch.column(1), queries.shape[1]))
-            kept.append(_nearest(metric, qids, queries, batch.column(0).to_numpy(), block, k))
+            kept.append(near(batch.column(0).to_numpy(), *batch.columns[1:]))
             if len(kept) > 8:
                 kept = [_merge(kept, k)]
         if kept:
@@ -161,18 +166,28 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
             rows = rows.repartition(spread)
         return rank_hits(rows.mapInArrow(_scan(metric, qids, q, k), HITS), k)
     dim = check_one_width(asked)
+
+    def near(qids: np.ndarray, q: pa.Array, ids: np.ndarray, v: pa.Array) -> list[np.ndarray]:
+        return _nearest(metric, qids, prepare_array(metric, _matrix(q, dim)), ids, prepare_array(metric, _matrix(v, dim)), k)
+
+    return rank_hits(in_blocks(rows, asked, near, block), k)
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame, near: Callable, block: int) -> DataFrame:
+    """:data:`HITS` by ``near(qids, vectors, ids, what)`` of each block of ``asked(qid, vector)`` and each of ``rows``, an id and another column."""
+    what = next(c for c in rows.columns if c != "id")
     parts = max(1, -(-rows.count() // (8 * block)))
     q_parts = max(1, -(-asked.count() // block))
-    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"), "id", "vector")
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"), "id", what)
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("own_part"), "qid", F.col("vector").alias("q"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _HITS.empty_table()
-        columns = _nearest(metric, b.column("qid").to_numpy(), prepare_array(metric, _matrix(b.column("q"), dim)), a.column("id").to_numpy(), prepare_array(metric, _matrix(a.column("vector"), dim)), k)
+        columns = near(b.column("qid").to_numpy(), b.column("q"), a.column("id").to_numpy(), a.column(what))
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _HITS, strict=True)], schema=_HITS)
 
-    return rank_hits(left.groupBy("part", "q_part").cogroup(right.groupBy("of_part", "own_part")).applyInArrow(meet, HITS), k)
+    return left.groupBy("part", "q_part").cogroup(right.groupBy("of_part", "own_part")).applyInArrow(meet, HITS)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

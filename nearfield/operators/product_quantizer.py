@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatch, InvalidParameter
 from nearfield.operators.clustering import MOST_CENTROIDS, kmeans, nearest_centroid, squared_distances
+from nearfield.operators.exact import HITS, best_of_batches, best_rows, in_blocks, rank_hits
 
 
 @dataclass(frozen=True, eq=False)
@@ -118,6 +119,48 @@ class ProductQuantizer:
         parts = np.asarray(query, np.float64).reshape(self.m, 1, -1)
         return np.stack([squared_distances(parts[s], self.codebooks[s])[0] for s in range(self.m)])
 
+    def distances(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of each query to each row of codes, added up part by part."""
+        if queries.shape[1] != self.dim:
+            raise DimensionMismatch(self.dim, queries.shape[1])
+        parts = np.asarray(queries, np.float64).reshape(len(queries), self.m, 1, -1)
+        out = np.zeros((len(queries), len(codes)))
+        for s in range(self.m):
+            out += np.take(((parts[:, s] - self.codebooks[s]) ** 2).sum(2), codes[:, s], axis=1)
+        return out
+
+    def nearest(self, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int, decimals: int | None = None, scale: float = 1.0) -> list[np.ndarray]:
+        """``qid``, ``id`` and ``scale`` times the distance, as arrays, of the ``k`` rows of codes nearest to each query, ties by id."""
+        parts: list[tuple] = []
+        for a in range(0, len(queries), 64):
+            d = self.distances(queries[a : a + 64], codes) * scale
+            d = d if decimals is None else np.round(d, decimals)
+            for i, row in enumerate(d):
+                best = best_rows(row, ids, k)
+                parts.append((np.full(len(best), qids[a + i]), ids[best], row[best]))
+        return [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0) for j in range(3)]
+
+    def search(self, codes: DataFrame, queries: DataFrame, k: int, decimals: int | None = None, small: int = 4096, block: int = 4096) -> DataFrame:
+        """``(qid, rank, id, distance)``: for each of ``queries(qid, vector)`` the ``k`` rows of ``codes(id, codes)`` of least asymmetric distance.
+
+        The best are kept next to the codes, so pairs never become rows.  Up to ``small``
+        queries are sent to all tasks, more meet the codes in blocks.  Distances
+        are ranked after rounding to ``decimals``, if given.
+        """
+        asked = queries.where("vector is not null").select("qid", F.col("vector").cast("array<double>").alias("vector"))
+        if k <= 0:
+            return rank_hits(codes.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance")), 0)
+        first = asked.limit(small + 1).collect()
+        near: Callable = lambda qids, q, ids, c: self.nearest(qids, q, ids, _rows_of(c, self.m), k, decimals)
+        for r in first:
+            if len(r.vector) != self.dim:
+                raise DimensionMismatch(self.dim, len(r.vector))
+        codes = codes.select("id", "codes")
+        if len(first) > small:
+            return rank_hits(in_blocks(codes, asked, lambda qids, q, ids, c: near(qids, _rows_of(q, self.dim), ids, c), block), k)
+        qids, q = np.array([r.qid for r in first], np.int64), np.array([r.vector for r in first], np.float64).reshape(len(first), self.dim)
+        return rank_hits(codes.mapInArrow(best_of_batches(lambda ids, c: near(qids, q, ids, c), k), HITS), k)
+
     @staticmethod
     def distance_from_table(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return table[np.arange(table.shape[0]), codes].sum(axis=-1)
@@ -126,12 +169,21 @@ class ProductQuantizer:
         return self.distance_from_table(self.distance_table(query), codes)
 
 
+def _rows_of(column: pa.Array, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    wrong = (sizes := np.diff(np.asarray(column.offsets))) != width
+    if wrong.any():
+        raise DimensionMismatch(width, int(sizes[wrong][0]))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
 def distances_by_join(codes: DataFrame, queries: DataFrame, books: DataFrame, most_sent: int = 4096, block: int = 1024) -> DataFrame:
     """``(qid, id, distance)`` of each query and coded row, from given codebooks, with columns only.
 
     The look-up table has a row for each query, with 256 numbers a part at most.
     That of up to ``most_sent`` queries is sent to all tasks; a larger one is
-    dealt into blocks of queries that meet blocks of codes.
+    dealt into blocks of queries that meet blocks of codes.  The result has a row
+    for each pair; for the nearest alone take :meth:`ProductQuantizer.search`.
     """
     m = F.broadcast(books.groupBy().agg((F.max("part") + 1).alias("m")))
     cut = queries.crossJoin(m).select("qid", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda s: F.slice("vector", (s * (F.size("vector") / F.col("m"))).cast("int") + 1, (F.size("vector") / F.col("m")).cast("int")))).alias("part", "piece"))

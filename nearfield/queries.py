@@ -15,7 +15,7 @@ from nearfield.functions.rng import SplitMix64
 from nearfield.operators import exact, hnsw
 from nearfield.operators.clustering import kmeans_table, nearest_centroid
 from nearfield.operators.ivf import IvfConfig, IvfIndex
-from nearfield.operators.product_quantizer import ProductQuantizer, distances_by_join
+from nearfield.operators.product_quantizer import ProductQuantizer
 from nearfield.operators.scalar_quantizer import ScalarQuantizer
 from nearfield.plans import filters
 from nearfield.sources.collection import Collection
@@ -258,10 +258,8 @@ PQ_SQL = f"WITH {BOOKS}, t AS (SELECT q.id AS qid, books.part, books.c, {L2.form
 @query(PQ_SQL)
 def pq_asymmetric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    books = fixed_books(rows)
-    codes = ProductQuantizer.from_table(books).encode(rows)
-    found = distances_by_join(codes, queries_of(rows), books)
-    return _rounded(exact.rank_hits(found.withColumn("distance", F.round("distance", 9)), 10))
+    quantizer = ProductQuantizer.from_table(fixed_books(rows))
+    return _rounded(quantizer.search(quantizer.encode(rows), queries_of(rows), 10, decimals=9))
 
 
 @query("SELECT true AS reached")
@@ -269,8 +267,8 @@ def pq_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained codebooks: asymmetric distances find a fifth of the nearest (vectors without clusters, 8 bytes each)."""
     rows = vectors(spark, sf_dir)
     quantizer = ProductQuantizer.train(rows, 8, 64, 10)
-    found = distances_by_join(quantizer.encode(rows), queries_of(rows), quantizer.to_table(spark))
-    return _reached(exact.recall(exact.rank_hits(found, 10), exact.knn_batch(rows, queries_of(rows), 10), 10), 0.2)
+    found = quantizer.search(quantizer.encode(rows), queries_of(rows), 10)
+    return _reached(exact.recall(found, exact.knn_batch(rows, queries_of(rows), 10), 10), 0.2)
 
 
 def _reached(measured: DataFrame, least: float) -> DataFrame:

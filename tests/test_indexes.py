@@ -192,3 +192,18 @@ def test_asymmetric_distances_in_blocks(spark, corpus):
     codes, books = quantizer.encode(rows), quantizer.to_table(spark)
     one, two = (sorted(map(tuple, distances_by_join(codes, asked, books, **o).collect())) for o in ({}, {"most_sent": 2, "block": 3}))
     assert one == two and len(one) == 400 * asked.count()
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 2, "block": 3}])
+def test_nearest_by_codes_keep_no_pairs(spark, corpus, options):
+    x, rows, asked = corpus
+    quantizer = ProductQuantizer.train(rows, 4, 16, 4)
+    codes = quantizer.encode(rows)
+    want = exact.rank_hits(distances_by_join(codes, asked, quantizer.to_table(spark)).selectExpr("qid", "id", "round(distance, 9) distance"), 7)
+    found = quantizer.search(codes, asked, 7, decimals=9, **options)
+    key = lambda r: (r.qid, r.rank, r.id, round(r.distance, 6))
+    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and quantizer.search(codes, asked, 0).isEmpty()
+    assert quantizer.search(codes, asked.limit(0), 7).isEmpty()
+    with pytest.raises(Exception, match="dimension"):
+        quantizer.search(codes, asked.selectExpr("qid", "slice(vector, 1, 3) vector"), 7, **options)
