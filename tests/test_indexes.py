@@ -88,6 +88,16 @@ def test_ivf_product_quantized(spark, corpus, tmp_path):
         IvfIndex.train(rows, f"file://{tmp_path}/bad", "inner_product", IvfConfig(nlist=8, pq_m=8))
 
 
+def test_rerank_reaches_as_far_as_codes_err(spark, tmp_path):
+    """Vectors without clusters under coarse codes: a fixed shortlist holds few of the nearest."""
+    x = np.random.default_rng(2).normal(size=(4000, 32))
+    rows = from_numpy(spark, np.arange(4000), x).cache()
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "qid")
+    index = IvfIndex.train(rows, f"file://{tmp_path}/coarse", "cosine", IvfConfig(nlist=4, list_iterations=4, pq_m=8, ksub=16, pq_iterations=4))
+    hits = index.search_reranked(asked, rows, 10, 20, nprobe=4)
+    assert exact.recall(hits, exact.knn_batch(rows, asked, 10, "cosine"), 10).first()[0] >= 0.9 and hits.count() == 400
+
+
 def test_graph_in_memory():
     ids, x = sample(300, 8, "l2", 6, 2)
     index = Index(8, m=8, m0=16, ef_construction=60)
