@@ -23,6 +23,9 @@ from nearfield.sources.vectors import from_numpy, parse_vector, read_jsonl, read
 from nearfield.streaming.ingest import start_ingest
 from nearfield.tables import described, queries_of, read, vectors, work_dir
 
+#: Vectors of one index in memory.
+INDEX_ROWS = 10_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -654,17 +657,37 @@ def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT true AS reached, true AS removed, count(*) - 1 AS left_over FROM embeddings")
 def index_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's index class over the embeddings, which are few at every test size."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy("vec_id").toPandas()
-    x = np.stack(rows.embedding.to_numpy()).astype(np.float64)
-    index = Index(x.shape[1], m=12, ef_construction=60)
-    index.add_batch(x, rows.vec_id.to_numpy())
-    asked = x[::50]
-    truth = [set(rows.vec_id.to_numpy()[np.argsort(((x - q) ** 2).sum(1), kind="stable")[:10]].tolist()) for q in asked]
-    shared = sum(len(t & {i for i, _ in index.search(q, 10, 96)}) for q, t in zip(asked, truth, strict=True))
-    first = int(rows.vec_id[0])
-    removed = index.remove(first) and not index.remove(first) and first not in {i for i, _ in index.search(x[0], 10)}
-    return spark.createDataFrame([(shared >= 0.95 * sum(map(len, truth)), removed, index.compact().node_count)], "reached boolean, removed boolean, left_over long")
+    """The index class over the embeddings, one index of at most about INDEX_ROWS vectors in a task's memory; every query asks all."""
+    import pyarrow as pa
+
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    n, first = rows.agg(F.count(F.lit(1)), F.min("id")).first()
+    shards = max(1, -(-n // INDEX_ROWS))
+    asked = queries_of(rows)
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+    def one(own: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows:
+            own = own.sort_by("id")
+            ids, x = own.column("id").to_numpy(), matrix(own.column("vector"))
+            index = Index(x.shape[1], m=12, ef_construction=60)
+            index.add_batch(x, ids)
+            for qid, q in zip(queries.column("qid").to_pylist(), matrix(queries.column("q")) if queries.num_rows else (), strict=True):
+                out += [(qid, i, d, None, None) for i, d in index.search(q, 10, 96)]
+            removed = ids[0] != first or (index.remove(first) and not index.remove(first) and first not in {i for i, _ in index.search(x[0], 10)})
+            out.append((None, None, None, bool(removed), index.compact().node_count))
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=["qid", "id", "distance", "removed", "left_over"])
+
+    left = rows.select(hnsw.shard_of(F.col("id"), shards).alias("shard"), "id", "vector")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("of_shard"), "qid", F.col("vector").alias("q"))
+    path = work_dir(spark, "indexes")
+    left.groupBy("shard").cogroup(right.groupBy("of_shard")).applyInArrow(one, "qid long, id long, distance double, removed boolean, left_over long").write.parquet(path)
+    found = spark.read.parquet(path)
+    hits = exact.rank_hits(found.where("qid is not null").select("qid", "id", "distance"), 10)
+    upkeep = found.where("qid is null").agg(F.every("removed").alias("removed"), F.sum("left_over").alias("left_over"))
+    return _reached(exact.recall(hits, exact.knn_batch(rows, asked, 10), 10), 0.95).crossJoin(upkeep)
 
 
 @query("SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * 2, 5) AS first FROM embeddings WHERE vec_id % 3 <> 0")

@@ -31,3 +31,17 @@ def test_results_equal_sql(spark, name):
     assert sorted(want.columns) == sorted(got.columns)
     rows = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
     assert [r.replace(".0,", ",") for r in rows(want)] == [r.replace(".0,", ",") for r in rows(got)]
+
+
+@needs_data
+def test_indexes_in_memory_are_built_in_tasks(spark, monkeypatch):
+    """Shards of bounded size; the table isn't collected in the driver."""
+    from nearfield import queries
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("the driver collects the table")
+
+    monkeypatch.setattr(queries, "INDEX_ROWS", 150, raising=False)
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    assert [tuple(r) for r in queries.index_in_memory(spark, SF_DIR).collect()] == [(True, True, 499)]
