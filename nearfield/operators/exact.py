@@ -147,12 +147,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     if k <= 0:
         return rank_hits(rows.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance")), 0)
     if strategy == "sql":
-        check_one_width(asked)
-        left = asked.select("qid", prepare(metric, F.col("vector")).alias("q"))
-        if left.limit(small + 1).count() <= small:
-            left = F.broadcast(left)
-        pairs = rows.select("id", prepare(metric, F.col("vector")).alias("v")).crossJoin(left)
-        return rank_hits(pairs.select("qid", "id", distance_prepared(metric, F.col("q"), of_width(F.col("v"), F.size("q"))).alias("distance")).where("distance is not null"), k)
+        return _by_columns(rows, asked, k, metric, small)
     first = asked.limit(small + 1).collect()
     if len(first) <= small:
         if not first:
@@ -173,6 +168,51 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     return rank_hits(in_blocks(rows, asked, near, block), k)
 
 
+#: Vectors of up to so many components become a column for each, which Spark compiles; rows that bound the distances first.
+COLUMNS, BOUND_ROWS = 64, 4096
+
+
+def _by_columns(rows: DataFrame, asked: DataFrame, k: int, metric: Metric, small: int) -> DataFrame:
+    """:func:`knn_batch` by column expressions only.
+
+    The k-th best among about :data:`BOUND_ROWS` rows bounds each query's k-th
+    distance, so that only the few pairs within it are ranked.
+    """
+    dim = check_one_width(asked)
+    flat = 0 < dim <= COLUMNS
+
+    def side(table: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+        vector = prepare(metric, of_width(F.col("vector"), F.lit(dim)) if dim else F.col("vector"))
+        table = table.select(key, vector.alias(name), *more)
+        if not flat:
+            return table
+        return table.where(~F.exists(name, lambda x: x.isNull())).select(key, *[F.coalesce(F.get(name, F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(dim)], *more)
+
+    def away() -> Column:
+        if not flat:
+            return distance_prepared(metric, F.col("q"), F.col("v"))
+        out = F.lit(0.0)
+        for i in range(dim):
+            q, v = F.col(f"q{i}"), F.col(f"v{i}")
+            out = out + ((q - v) * (q - v) if metric is Metric.L2 else q * v)
+        return out if metric is Metric.L2 else 1 - out if metric is Metric.COSINE else -out
+
+    def pairs(some: DataFrame, queries: DataFrame) -> DataFrame:
+        return side(some, "id", "v").crossJoin(F.broadcast(queries) if sent else queries)
+
+    sent = asked.limit(small * 16 + 1).count() <= small * 16
+    parts = max(1, rows.count() // BOUND_ROWS)
+    if parts > 1:
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0)
+        best = rank_hits(pairs(some, side(asked, "qid", "q")).select("qid", "id", away().alias("distance")).where("distance is not null"), k)
+        bounds = best.where(F.col("rank") == k).groupBy("qid").agg(F.max("distance").alias("bound"))
+        asked = asked.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).localCheckpoint()
+        near = pairs(rows, side(asked, "qid", "q", "bound")).where(away() <= F.col("bound"))
+    else:
+        near = pairs(rows, side(asked, "qid", "q"))
+    return rank_hits(near.select("qid", "id", away().alias("distance")).where("distance is not null"), k)
+
+
 def in_blocks(rows: DataFrame, asked: DataFrame, near: Callable, block: int) -> DataFrame:
     """:data:`HITS` by ``near(qids, vectors, ids, what)`` of each block of ``asked(qid, vector)`` and each of ``rows``, an id and another column."""
     what = next(c for c in rows.columns if c != "id")

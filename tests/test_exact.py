@@ -96,3 +96,13 @@ def test_vectors_of_another_length_fail_the_search(spark, options):
         exact.knn(rows, [0.0, 0.0], 2).collect()
     with pytest.raises(DimensionMismatch):
         exact.knn_batch(rows, spark.createDataFrame([(0, [0.0]), (1, [1.0, 0.0])], "qid long, vector array<double>"), 2, **options)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_columns_rank_only_pairs_within_a_bound(spark, metric, monkeypatch):
+    monkeypatch.setattr(exact, "BOUND_ROWS", 20)
+    x = np.random.default_rng(4).normal(size=(90, 6))
+    rows = frame(spark, list(enumerate(np.concatenate([x, x[:30]]))))  # copies tie
+    asked = frame(spark, list(enumerate(x[:5])), "qid")
+    a, b = ([(r.qid, r.rank, r.id) for r in exact.knn_batch(rows, asked, 4, metric, strategy=s).orderBy("qid", "rank").collect()] for s in ("numpy", "sql"))
+    assert a == b and len(b) == 20
